@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyquarry.functions import keys
+from skyquarry.operators.impute import fill_missing
 from skyquarry.operators.intervals import periods_and_gaps
 from skyquarry.operators.nearby import near_pairs, points_in_regions
 from skyquarry.operators.packed import split_packed
-from skyquarry.session import table, usable
+from skyquarry.operators.units import to_common_unit
+from skyquarry.session import cut, table, usable
 
 #: All true times of the archive lie between these MJD.
 FIRST_MJD, LAST_MJD = 43000.0, 62500.0
@@ -32,6 +35,72 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.lit("near").alias("kind"), "id_a", "id_b").unionByName(inside.select(F.lit("inside").alias("kind"), "id_a", "id_b"))
 
 
+def p3_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each missing time of an observation with the value filled in and where it came from."""
+    obs = table(spark, sf_dir, "caom_obs")
+    key = keys.group_key(F.col("obs_collection"), F.col("obs_id"))
+    return fill_missing(
+        obs,
+        "obsid",
+        [keys.mission(F.col("obs_collection")), key],
+        {f: F.when(good_time(f), F.col(f)) for f in ("t_min", "t_max", "t_obs_release")},
+        {"ingested": F.unix_micros("ingested_at") / 86_400e6, "t_exptime": F.when(usable("t_exptime") & (F.col("t_exptime") > 0), F.col("t_exptime"))},
+        {c: F.col(c) for c in ("obs_collection", "proposal_id", "proposal_type", "calib_level", "dataproduct_type")},
+    )
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each missing time of an observation and its donor."""
+    return p3_filled(spark, sf_dir).select("obsid", "field", "donor")
+
+
+def _pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tab, filter_name, proper, pivot_nm) of both filter tables; their sequence follows the filters' numbers."""
+    tables = []
+    for tab, column, step in (("jwst_filter_meta", "pivotwavelength", 10.0), ("hst_filter_meta", "pivotwavelengthangstroms", 1.0)):
+        number = F.regexp_extract("filter_name", "^[A-Za-z]+([0-9]+)", 1).try_cast("double") * step
+        tables.append(table(spark, sf_dir, tab).select(F.concat_ws("|", F.lit(tab), "filter_name").alias("k"), F.lit(tab).alias("tab"), F.col(column).alias("pivot"), "remark", F.log10(F.when(number > 0, number)).alias("level")))
+    pivot = F.col("pivot")
+    nm = to_common_unit(tables[0].unionByName(tables[1]), "k", F.col("tab"), F.col("level"), pivot, pivot, F.col("remark"), level=F.col("level"))
+    tab, name = F.split_part("k", F.lit("|"), F.lit(1)), F.split_part("k", F.lit("|"), F.lit(2))
+    own = F.when(tab == "jwst_filter_meta", 1e3).otherwise(0.1)
+    proper = F.coalesce(F.abs(F.col("scale_nm") / own - 1) < 1e-6, F.lit(False))
+    return nm.select(tab.alias("tab"), name.alias("filter_name"), F.col("lo_nm").alias("pivot_nm"), proper.alias("proper"))
+
+
+def p4_common(spark: SparkSession, sf_dir: str, pivots: DataFrame | None = None) -> DataFrame:
+    """Every band of the observations in nm with the unit found and how."""
+    obs = table(spark, sf_dir, "caom_obs")
+    pivots = (pivots or _pivots(spark, sf_dir)).where("pivot_nm is not null").groupBy(F.upper("filter_name").alias("name"), (F.col("tab") == "jwst_filter_meta").alias("jwst")).agg(F.max("pivot_nm").alias("pivot_nm"))
+    first = F.upper(F.trim(F.translate(F.col("filters"), "[](){}\"'", "         ")))
+    several = F.regexp_replace(F.col("filters"), "[;,|+&/\\t\\s\\])}]+$", "").rlike("[;,|+&/\\t]")
+    first = F.regexp_replace(first, "^[;,|+&/\\s]+|[;,|+&/\\s]+$", "")
+    rows = obs.select("obsid", "em_min", "em_max", "em_unit", "t_min", F.upper("obs_collection").alias("collection"), first.alias("name"), F.coalesce(several, F.lit(False)).alias("several"))
+    rows = rows.withColumn("jwst", F.col("collection") == "JWST").join(F.broadcast(pivots), ["name", "jwst"], "left")  # a row per filter of two fixed tables
+    return to_common_unit(
+        rows,
+        "obsid",
+        F.concat_ws("|", keys.mission(F.col("collection")), "name"),
+        F.col("t_min"),
+        F.col("em_min"),
+        F.col("em_max"),
+        F.col("em_unit"),
+        level=F.when(F.col("collection").isin("JWST", "HST", "HLA"), F.log10("pivot_nm")),
+        always_decode=~F.col("several"),
+    )
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands and pivots that stood in another unit, in hundredths of a nanometre."""
+    found = cut(_pivots(spark, sf_dir))
+    bands = p4_common(spark, sf_dir, found).where(~F.col("own") & F.col("lo_nm").isNotNull())
+    cnm = lambda c: F.round(F.col(c) * 100).cast("long")
+    pivots = found.where(~F.col("proper") & F.col("pivot_nm").isNotNull())
+    return bands.select(F.lit("caom_obs").alias("tab"), F.col("obsid").cast("string").alias("rec_key"), cnm("lo_nm").alias("lo_cnm"), cnm("hi_nm").alias("hi_cnm")).unionByName(
+        pivots.select("tab", F.col("filter_name").alias("rec_key"), cnm("pivot_nm").alias("lo_cnm"), cnm("pivot_nm").alias("hi_cnm"))
+    )
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous observing periods, and the gaps between them, of each target in each proposal."""
     obs = table(spark, sf_dir, "caom_obs")
@@ -41,7 +110,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods_and_gaps(spans, ("proposal_id", "target_name"), "start", "end")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_found": p7_found}
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_filled": p3_filled,
+    "p4_found": p4_found,
+    "p4_common": p4_common,
+    "p7_found": p7_found,
+}
 
 #: Only where SQL is quick on whole tables; the others are tested against brute force.
 ORACLES = {
