@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyquarry.functions import keys
 from skyquarry.operators.impute import fill_missing
+from skyquarry.operators.instants import to_utc
 from skyquarry.operators.intervals import periods_and_gaps
 from skyquarry.operators.nearby import near_pairs, points_in_regions
 from skyquarry.operators.packed import split_packed
@@ -101,6 +102,28 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value that names an instant, as UTC, with its format and whether the reading is ambiguous."""
+    sites = table(spark, sf_dir, "obs_sites").select("site_code", "zone_name").dropDuplicates(["site_code"])
+    zones = [r.zone_name for r in sites.select("zone_name").distinct().limit(2000).collect() if r.zone_name]  # a fixed table of sites
+    headers = table(spark, sf_dir, "fits_headers").join(F.broadcast(sites), "site_code", "left")
+    wire = table(spark, sf_dir, "coam_wire")
+    civil = dict(zone=F.col("zone_name"), zones=zones, scale=F.col("timesys"))
+    telescope = F.upper(F.trim("telescop"))
+    parts = [
+        ("date_obs", "header_id", to_utc(headers, "header_id", F.col("date_obs"), telescope, clock=F.col("time_obs"), **civil)),
+        ("tstart", "header_id", to_utc(headers, "header_id", F.col("tstart"), telescope, numbers="header", unit=F.col("timeunit"), epoch=F.col("mjdref"), **civil)),
+        ("t_min", "wire_id", to_utc(wire, "wire_id", F.col("t_min"), F.col("feed"), numbers="feed")),
+    ]
+    named = [df.select(F.lit(field).alias("field"), F.col(key).alias("rec_id"), "utc_ms", "fmt", "posterior", "ambiguous") for field, key, df in parts]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value that names an instant, in milliseconds since 1970 UTC."""
+    return p5_instants(spark, sf_dir).select("field", "rec_id", "utc_ms")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous observing periods, and the gaps between them, of each target in each proposal."""
     obs = table(spark, sf_dir, "caom_obs")
@@ -117,6 +140,8 @@ QUERIES = {
     "p3_filled": p3_filled,
     "p4_found": p4_found,
     "p4_common": p4_common,
+    "p5_found": p5_found,
+    "p5_instants": p5_instants,
     "p7_found": p7_found,
 }
 
