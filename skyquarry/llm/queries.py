@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyquarry.llm.bpe import count_tokens, encode
 from skyquarry.llm.mixing import mix
 from skyquarry.llm.names import match_names
+from skyquarry.llm.subjects import subjects_of
 from skyquarry.session import cut, small, table
 
 
@@ -50,5 +51,10 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, chosen, sources)
 
 
-QUERIES = {"p6_found": p6_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject areas of every document."""
+    return subjects_of(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "doc_labels"), "doc_id", "subject")
+
+
+QUERIES = {"p6_found": p6_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
