@@ -263,11 +263,11 @@ def fits_data_size(spark, sf_dir):
     return table(spark, sf_dir, "fits_headers").where("ext_index is not null and bitpix is not null").select("header_id", fitsvalues.data_size(F.col("bitpix"), axes, none, none, F.lit(False)).alias("bytes")).distinct()
 
 
-@query(OBS + "SELECT obsid, round(s_ra - 1e-4 * (5 - 10), 9) AS ra, round(s_dec + 1e-4 * (6 - 20), 9) AS dec FROM obs WHERE s_ra IS NOT NULL AND NOT isnan(s_ra)")
+@query(OBS + "SELECT obsid, round(s_ra - 1e-4 * (5 - 10), 9) AS ra, round(s_dec + 1e-4 * (6 - 20), 9) AS dec FROM obs WHERE s_dec IS NOT NULL AND s_ra IS NOT NULL AND NOT isnan(s_ra)")
 def wcs_world(spark, sf_dir):
     """Sky position of a pixel by a linear transform centred on each observation."""
     header = {"CRPIX1": F.lit(10), "CRPIX2": F.lit(20), "CRVAL1": F.col("s_ra"), "CRVAL2": F.col("s_dec"), "CDELT1": F.lit(-1e-4), "CDELT2": F.lit(1e-4)}
-    found = observations(spark, sf_dir).where("s_ra is not null and not isnan(s_ra)").select("obsid", fitsvalues.to_world(fitsvalues.wcs(header), F.lit(4.0), F.lit(5.0)).alias("w"))
+    found = observations(spark, sf_dir).where("s_dec is not null and s_ra is not null and not isnan(s_ra)").select("obsid", fitsvalues.to_world(fitsvalues.wcs(header), F.lit(4.0), F.lit(5.0)).alias("w"))
     return found.select("obsid", F.round("w.ra", 9).alias("ra"), F.round("w.dec", 9).alias("dec"))
 
 

@@ -137,6 +137,9 @@ def shape_holds(shape: Shape, ra: float, dec: float) -> bool:
     """Circle by separation; polygon by crossing parity in the plane tangent at the point, edges included."""
     if shape.is_circle:
         return separation(*shape.vertices[0], ra, dec) <= shape.radius + 1e-9
+    middle = centre(list(shape.vertices))
+    if separation(*middle, ra, dec) > 1e-6 + max(separation(*middle, *v) for v in shape.vertices):
+        return False  # on the far side of the sphere the plane would show the polygon turned inside out
     flat = _flat(shape.vertices, ra, dec)
     inside = False
     for a, b in zip(flat, flat[-1:] + flat[:-1]):

@@ -81,8 +81,10 @@ def atoms(text: str) -> tuple[list[tuple[str, bool]], list[str]]:
                             continue
                         break
                     end += 1
-                rest = text[end + 1 :].lstrip(" ") if end < n else "x"
-                if end < n and (not rest or rest[0] in CANDIDATES):
+                after = end + 1
+                while after < n and text[after] == " ":
+                    after += 1
+                if end < n and (after >= n or text[after] in CANDIDATES):
                     value, quoted = text[at + 1 : end].replace(c + c, c).strip(), True
                     end += 1
             if not quoted:
@@ -189,7 +191,7 @@ def _spans_of(max_join: int):
 
 
 def split_packed(
-    df: DataFrame, key: str, fields: list[str], *, rounds: int = 1, max_join: int = MAX_JOIN, quoted_rule: bool = True
+    df: DataFrame, key: str, fields: list[str], *, rounds: int = 2, max_join: int = MAX_JOIN, quoted_rule: bool = True
 ) -> DataFrame:
     """(key, field, pos, item) of every text in ``fields`` that holds two or more values.
 
