@@ -28,6 +28,8 @@ from skyquarry.session import cut
 CANDIDATES = {";": 0.9, ",": 0.9, "|": 0.9, "+": 0.9, "&": 0.9, "\t": 0.9, "/": 0.5}
 BRACKETS = {"[": "]", "(": ")", "{": "}"}
 QUOTES = "\"'"
+#: Share of values not met before, and the factor for each usual separator inside such a value.
+NEW, INSIDE = 0.1, 0.02
 #: Longest value in atoms that a lattice may join. A model parameter: longer joins are not proposed.
 MAX_JOIN = 3
 
@@ -120,9 +122,9 @@ def _log_sum(a: float, b: float) -> float:
     return max(a, b) + math.log1p(math.exp(-abs(a - b))) if max(a, b) > -1e300 else max(a, b)
 
 
-def _base(value: str) -> float:
-    """Log probability of a value by its spelling alone."""
-    return -(len(value) + 1) * math.log(40.0)
+def _base(value: str, inner: str) -> float:
+    """Log probability of a new value by its spelling; usual separators inside make it less likely."""
+    return -(len(value) + 1) * math.log(40.0) + sum(math.log(INSIDE) for c in inner if CANDIDATES[c] > 0.5)
 
 
 class Lattice:
@@ -132,7 +134,7 @@ class Lattice:
         self.n, self.between, self.splits = n_atoms, between, splits
         self.into: list[list[tuple[int, float, str, str]]] = [[] for _ in range(n_atoms + 1)]
         for i, j, value, inner, count in edges:
-            score = math.log(count / (total + 1) + math.exp(max(-600.0, _base(value))) / (total + 1) + 1e-290)
+            score = math.log((1 - NEW) * count / max(total, 1e-9) + NEW * math.exp(max(-600.0, _base(value, inner))) + 1e-290)
             for c in inner:
                 score += math.log(max(1e-9, 1 - splits[c]))
             if j < n_atoms and len(between[j - 1]) == 1:
