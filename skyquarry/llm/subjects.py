@@ -14,6 +14,7 @@ document is then classified whole, in Arrow batches, without a shuffle.
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -187,6 +188,7 @@ def train(documents: list[tuple[str, list[str]]], rounds: int = 4) -> Classifier
     split = [(sents, labels) for sents, labels in split if labels and sents]
     if not split:
         return None
+    random.Random(0).shuffle(split)
     halves = split[::2], split[1::2]
     margins = [_best_margin(_fit(a, rounds), b) for a, b in (halves, halves[::-1]) if a and b]
     model = _fit(split, rounds)
