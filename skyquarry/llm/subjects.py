@@ -35,7 +35,7 @@ REST = 0.25
 #: Prior weights of a sentence: one of the document's subjects, none, another subject.
 PRIOR = {"label": 0.6, "none": 0.3, "other": 0.1}
 #: Margins (nats below the background's cross-entropy, over the sentence) that calibration tries.
-MARGINS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0)
+MARGINS = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0)
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _END = re.compile(r"(?<=[.!?…。])[\"'»”)]*\s+(?=[\"'«“(¿¡]*[^\W\d_])|(?<=[.!?。])\s*$|\n{2,}|[。！？]")
 _CODE = re.compile(r"^\s*(?:[A-Z][A-Z0-9_-]{0,7}\s*=|(?:def|class|import|from|for|while|if|elif|else|return|let|var|func|print|select|SELECT|#include|//|#|\$|>>>)\b.*[=():{};]|[\w.\[\]]+\s*=\s*\S|[{}\[\]();]+\s*$|\S+\(.*\)\s*[;:{]?\s*$)")
@@ -90,7 +90,7 @@ def _flatten(sents: list[list[str]], ids: dict[str, int], pairs: dict[int, int],
 
 @dataclass
 class Classifier:
-    """Interpolated models of all subjects side by side; the last column is the background."""
+    """Interpolated models of all subjects side by side, then of sentences on no subject; the last column is the background."""
 
     subjects: list[str]
     ids: dict[str, int]
@@ -100,16 +100,21 @@ class Classifier:
     margin: float = 2.0
 
     def gains(self, corpus: Corpus) -> np.ndarray:
-        """Cross-entropy of each sentence below the background's (nats), by subject."""
+        """Cross-entropy of each sentence below the background's (nats), by subject and, last, for none."""
         if not len(corpus.words):
-            return np.zeros((0, len(self.subjects)))
+            return np.zeros((0, len(self.subjects) + 1))
         w2, w1, w0 = WEIGHTS
         p = w2 * self.two[corpus.bigrams] + w1 * self.one[corpus.words] + w0 / len(self.one)
         return np.add.reduceat(np.log(REST + (1 - REST) * p[:, :-1] / p[:, -1:]), corpus.starts)
 
+    def choose(self, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
+        """Of each sentence the best subject, and its gain over the background and over the model of no subject."""
+        gains = self.gains(corpus)
+        own = gains[:, :-1]
+        return own.argmax(1), own.max(1) - np.maximum(gains[:, -1], 0.0)
+
     def treated(self, sents: list[list[str]]) -> list[str | None]:
-        gains = self.gains(_flatten(sents, self.ids, self.pairs))
-        return [self.subjects[k] if g > self.margin else None for k, g in zip(gains.argmax(1), gains.max(1))] if len(sents) else []
+        return [self.subjects[k] if g > self.margin else None for k, g in zip(*self.choose(_flatten(sents, self.ids, self.pairs)))]
 
     def of_documents(self, texts: list[str | None]) -> list[list[str]]:
         split = [sentences(t) if t else [] for t in texts]
@@ -139,8 +144,11 @@ def _fit(split: list[tuple[list[list[str]], list[str]]], rounds: int) -> Classif
     pairs: dict[int, int] = {}
     corpus = _flatten([s for sents, _ in split for s in sents], ids, pairs, grow=True)
     doc = np.repeat(np.arange(len(split)), [len(sents) for sents, _ in split])
-    prior = np.full((len(split), len(subjects)), PRIOR["other"] / len(subjects))
+    none = len(subjects)
+    prior = np.full((len(split), none + 1), PRIOR["other"] / len(subjects))
+    prior[:, none] = PRIOR["none"]
     mine = np.zeros(prior.shape, bool)
+    mine[:, none] = True
     for k, (_, labels) in enumerate(split):
         for s in labels:
             prior[k, subjects.index(s)] = PRIOR["label"] / len(labels)
@@ -154,7 +162,7 @@ def _fit(split: list[tuple[list[list[str]], list[str]]], rounds: int) -> Classif
     for _ in range(rounds):
         if model is not None:
             weights = prior * np.exp(np.minimum(50.0, model.gains(corpus)))
-        weights = weights / (weights.sum(1, keepdims=True) + PRIOR["none"])
+        weights = weights / weights.sum(1, keepdims=True)
         each = np.c_[weights, np.ones(len(weights))][corpus.of]
         at = doc[corpus.of]
         one = _damped(corpus.words, at, words, each)
@@ -169,14 +177,14 @@ def _fit(split: list[tuple[list[list[str]], list[str]]], rounds: int) -> Classif
 
 def _best_margin(model: Classifier, split) -> float:
     """Margin with the best agreement (F1 of the documents' subjects) with labels; ties to the larger."""
-    gains = model.gains(_flatten([s for sents, _ in split for s in sents], model.ids, model.pairs))
+    who, gain = model.choose(_flatten([s for sents, _ in split for s in sents], model.ids, model.pairs))
     ends = np.cumsum([0] + [len(sents) for sents, _ in split])
     best = (-1.0, 0.0)
     for margin in MARGINS:
         hit = said = true = 0
         for k, (_, labels) in enumerate(split):
-            own = gains[ends[k] : ends[k + 1]]
-            got = set(accept(Counter(model.subjects[j] for j, g in zip(own.argmax(1), own.max(1)) if g > margin))) if len(own) else set()
+            own = slice(ends[k], ends[k + 1])
+            got = set(accept(Counter(model.subjects[j] for j, g in zip(who[own], gain[own]) if g > margin)))
             hit, said, true = hit + len(got & set(labels)), said + len(got), true + len(labels)
         best = max(best, (2 * hit / max(1, said + true), margin))
     return best[1]
