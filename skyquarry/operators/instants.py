@@ -18,6 +18,8 @@ from zoneinfo import ZoneInfo, available_timezones
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyquarry.session import cut
+
 #: Offsets of time scales from UTC (later than 2017), and months.
 SCALE_MS = {"TT": 69184, "TAI": 37000, "UTC": 0, "UT": 0, "UT1": 0}
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -207,7 +209,8 @@ def to_utc(
         options = [F.when(~digits, o) for o in options] + _numbers(F.col("text"), numbers, F.col("unit"), F.col("epoch"))
     possible = F.array_compact(F.array(*options))
     possible = F.filter(possible, lambda c: c["ms"].between(_year_ms(POSSIBLE[0]), _year_ms(POSSIBLE[1])))
-    read = rows.withColumn("cands", possible).where(F.size("cands") > 0)
+    # kept, so that no later filter is pushed below the parsing and makes it run again
+    read = cut(rows.withColumn("cands", possible).select("rid", "source", "civil", "scale", "cands")).where(F.size("cands") > 0)
     likely = lambda c: F.when(c["ms"].between(_year_ms(LIKELY[0]), _year_ms(LIKELY[1])), 1.0).otherwise(1e-3)
     read = read.withColumn("sig", F.transform("cands", lambda c: F.struct(c["fmt"].alias("fmt"), likely(c).alias("lik"))))
 
