@@ -54,79 +54,80 @@ def _year_ms(year: int) -> int:
     return int((datetime(year, 1, 1) - datetime(1970, 1, 1)).total_seconds() * 1000)
 
 
-def _clock(h: Column, mi: Column, s: Column, half: Column | None) -> Column:
+def _clock(hour: Column, mi: Column, s: Column, half: Column) -> Column:
     """Milliseconds of day from digits; null if impossible. A leap second counts as the next midnight's."""
-    hour = h.try_cast("int")
-    if half is not None:
-        half = F.upper(half)
-        fit = F.when((half == "") | hour.between(1, 12), F.lit(True))
-        hour = F.when(half == "PM", hour % 12 + 12).when(half == "AM", hour % 12).otherwise(hour)
-        hour = F.when(fit, hour)
+    half = F.upper(half)
+    hours = F.when((half == "") & (hour < 24), hour).when(hour.between(1, 12), hour % 12 + F.when(half == "PM", 12).otherwise(0))
     second = F.when(s == "", F.lit("0")).otherwise(s).try_cast("decimal(20,12)")
-    ms = F.round(second * 1000).cast("long")
-    return F.when((hour < 24) & (mi.try_cast("int") < 60) & (second < 61), hour.cast("long") * 3_600_000 + mi.try_cast("long") * 60_000 + ms)
-
-
-def _readings(text: Column, clock: Column) -> list[Column]:
-    """One column per text format: struct(fmt, local ms, zone text) or null."""
-    out = []
-    for name, pattern, at in TEXT_FORMATS:
-        group = lambda k, p=pattern, at=at: F.regexp_extract(text, p, at[k])
-        year = F.concat(F.lit("19"), group("yy")) if "yy" in at else group("y")
-        if "doy" in at:
-            doy = group("doy").try_cast("int")
-            first = F.concat(year, F.lit("-01-01")).try_cast("date")
-            day = F.date_add(first, doy - 1)
-            day = F.when((doy > 0) & (F.year(day) == year.try_cast("int")), day)
-        else:
-            if "mon" in at:
-                months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, f"{i:02d}")])
-                month = F.try_element_at(months, F.lower(F.substring(group("mon"), 1, 3)))
-            else:
-                month = F.lpad(group("m"), 2, "0")
-            day = F.concat_ws("-", year, F.coalesce(month, F.lit("x")), F.lpad(group("d"), 2, "0")).try_cast("date")
-        if "h" in at:
-            of_day = _clock(group("h"), group("mi"), group("s"), group("ap") if "ap" in at else None)
-        elif "f" in at:
-            of_day = F.round(F.concat(F.lit("0"), group("f")).try_cast("decimal(20,15)") * DAY_MS).cast("long")
-        else:
-            c = F.trim(clock)
-            of_day = _clock(*[F.regexp_extract(c, _CLOCK, i) for i in (1, 2, 3)], None)
-        ms = F.unix_date(day).cast("long") * DAY_MS + of_day
-        zone = group("z") if "z" in at else F.lit("")
-        out.append(F.when(text.rlike(pattern) & ms.isNotNull(), F.struct(F.lit(name).alias("fmt"), ms.alias("ms"), zone.alias("zone"))))
-    return out
+    return F.when((mi.try_cast("int") < 60) & (second < 61), hours.cast("long") * 3_600_000 + mi.try_cast("long") * 60_000 + F.round(second * 1000).cast("long"))
+
+
+def _read_text(rows: DataFrame) -> DataFrame:
+    """With ``words``: struct(fmt, local ms, zone text) of the text format that fits, or null.
+
+    Format, fields and instant are computed in steps, each as columns of the one before.
+    """
+    text = F.col("text")
+    fmt = F.coalesce(*[F.when(text.rlike(pattern), F.lit(name)) for name, pattern, _ in TEXT_FORMATS])
+    rows = rows.withColumn("fmt", fmt)
+
+    def field(k: str) -> Column:
+        return F.coalesce(*[F.when(F.col("fmt") == name, F.regexp_extract(text, pattern, at[k])) for name, pattern, at in TEXT_FORMATS if k in at])
+
+    bare = F.col("fmt").isin(*[name for name, _, at in TEXT_FORMATS if "h" not in at and "f" not in at])
+    clock = [F.when(bare, F.regexp_extract(F.trim("clock"), _CLOCK, i)) for i in (1, 2, 3)]
+    months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, f"{i:02d}")])
+    rows = rows.withColumns(
+        {
+            "y": F.coalesce(field("y"), F.concat(F.lit("19"), field("yy"))),
+            "mo": F.coalesce(F.try_element_at(months, F.lower(F.substring(field("mon"), 1, 3))), F.lpad(field("m"), 2, "0")),
+            "d": F.lpad(field("d"), 2, "0"),
+            "doy": field("doy").try_cast("int"),
+            "h": F.coalesce(field("h"), clock[0]),
+            "mi": F.coalesce(field("mi"), clock[1]),
+            "s": F.coalesce(field("s"), clock[2]),
+            "ap": F.coalesce(field("ap"), F.lit("")),
+            "f": F.concat(F.lit("0"), field("f")).try_cast("decimal(20,15)"),
+            "z": F.coalesce(field("z"), F.lit("")),
+        }
+    )
+    first = F.concat("y", F.lit("-01-01")).try_cast("date")
+    plain = F.concat("y", F.lit("-"), "mo", F.lit("-"), "d").try_cast("date")
+    rows = rows.withColumns({"day": F.coalesce(plain, F.when(F.col("doy") > 0, F.date_add(first, F.col("doy") - 1))), "hour": F.col("h").try_cast("int")})
+    good_day = F.col("doy").isNull() | (F.year("day") == F.col("y").try_cast("int"))
+    of_day = F.coalesce(_clock(F.col("hour"), F.col("mi"), F.col("s"), F.col("ap")), F.round(F.col("f") * DAY_MS).cast("long"))
+    rows = rows.withColumn("ms", F.when(good_day, F.unix_date("day").cast("long") * DAY_MS + of_day))
+    words = F.when(F.col("ms").isNotNull(), F.struct("fmt", "ms", F.col("z").alias("zone")))
+    return rows.withColumn("words", words).drop("fmt", "y", "mo", "d", "doy", "h", "hour", "mi", "s", "ap", "f", "z", "day", "ms")
 
 
-def _numbers(text: Column, mode: str, unit: Column, epoch: Column) -> list[Column]:
+def _read_numbers(rows: DataFrame, mode: str) -> tuple[DataFrame, list[Column]]:
     """Readings of numbers. header: epoch + value in its unit, MJD or JD. feed: MJD, JD, Unix s or ms."""
-    prefix = F.upper(F.regexp_extract(text, _NUMBER, 1))
+    text = F.col("text")
     whole, part = F.regexp_extract(text, _NUMBER, 2), F.regexp_extract(text, _NUMBER, 3)
     value = F.concat(whole, F.lit("."), F.when(part == "", F.lit("0")).otherwise(F.substring(part, 1, 16))).try_cast("decimal(32,16)")
-    integral = (part == "") & ~text.rlike("[.,]")
-    fits = text.rlike(_NUMBER) & value.isNotNull()
+    is_number = text.rlike(_NUMBER)
+    rows = rows.withColumns({"value": F.when(is_number, value), "prefix": F.when(is_number, F.upper(F.regexp_extract(text, _NUMBER, 1))), "integral": ~text.rlike("[.,]")})
+    value, prefix, unit, epoch = (F.col(c) for c in ("value", "prefix", "unit", "epoch"))
 
     def days(origin: float) -> Column:
         return F.round((value - F.lit(str(origin)).cast("decimal(12,1)")).cast("decimal(28,14)") * DAY_MS).try_cast("long")
 
     def reading(name: str, when: Column, ms: Column) -> Column:
-        return F.when(fits & when & ms.isNotNull(), F.struct(F.lit(name).alias("fmt"), ms.alias("ms"), F.lit("").alias("zone")))
+        return F.when(when & value.isNotNull(), F.struct(F.lit(name).alias("fmt"), ms.alias("ms"), F.lit("").alias("zone")))
 
     if mode == "header":
         base = (epoch.cast("decimal(20,8)") - MJD_UNIX).cast("decimal(20,8)") * DAY_MS
-        seconds = F.round(base + value.cast("decimal(28,12)") * 1000).try_cast("long")
-        in_days = F.round(base + value.cast("decimal(28,14)") * DAY_MS).try_cast("long")
-        bare = (prefix == "") & epoch.isNotNull()
-        free = epoch.isNull() & (unit == "d")
-        return [
-            reading("seconds since", bare & (unit == "s"), seconds),
-            reading("days since", bare & (unit == "d"), in_days),
+        bare, free = (prefix == "") & epoch.isNotNull(), epoch.isNull() & (unit == "d")
+        return rows, [
+            reading("seconds since", bare & (unit == "s"), F.round(base + value.cast("decimal(28,12)") * 1000).try_cast("long")),
+            reading("days since", bare & (unit == "d"), F.round(base + value.cast("decimal(28,14)") * DAY_MS).try_cast("long")),
             reading("mjd", free & (prefix != "JD"), days(MJD_UNIX)),
             reading("jd", free & (prefix != "MJD"), days(JD_UNIX)),
         ]
-    counts = integral & (prefix == "") & (value > 0)
-    day_numbers = ~integral | (prefix != "")
-    return [
+    counts = F.col("integral") & (prefix == "") & (value > 0)
+    day_numbers = ~F.col("integral") | (prefix != "")
+    return rows, [
         reading("mjd", day_numbers & (prefix != "JD"), days(MJD_UNIX)),
         reading("jd", day_numbers & (prefix != "MJD"), days(JD_UNIX)),
         reading("unix s", counts, F.try_multiply(value.try_cast("long"), F.lit(1000))),
@@ -192,7 +193,7 @@ def to_utc(
     nothing = F.lit(None).cast("string")
     rows = df.where(F.col(key).isNotNull()).select(
         F.col(key).alias("rid"),
-        F.trim(F.regexp_replace(value, "^\\s+|\\s+$", "")).alias("text"),
+        F.regexp_replace(value, "^\\s+|\\s+$", "").alias("text"),
         F.coalesce(source, F.lit("")).alias("source"),
         (clock if clock is not None else nothing).alias("clock"),
         (zone if zone is not None else nothing).alias("civil"),
@@ -202,11 +203,12 @@ def to_utc(
     )
     rows = rows.where("text is not null and text <> ''").dropDuplicates(["rid"])
 
-    options = _readings(F.col("text"), F.col("clock"))
+    rows = _read_text(rows)
+    options = [F.col("words")]
     if numbers:
-        digits = F.col("text").rlike(_NUMBER)
         # in a feed a whole number counts seconds or milliseconds, it is no compact date
-        options = [F.when(~digits, o) for o in options] + _numbers(F.col("text"), numbers, F.col("unit"), F.col("epoch"))
+        rows, more = _read_numbers(rows, numbers)
+        options = [F.when(F.col("prefix").isNull(), F.col("words")), *more]
     possible = F.array_compact(F.array(*options))
     possible = F.filter(possible, lambda c: c["ms"].between(_year_ms(POSSIBLE[0]), _year_ms(POSSIBLE[1])))
     # kept, so that no later filter is pushed below the parsing and makes it run again
