@@ -63,6 +63,6 @@ def matches_bands(filters: Column, bands: list[str]) -> Column:
 
 
 def needs_header(address: Column) -> Column:
-    """Whether a product's address promises FITS metadata."""
+    """Whether a product's address promises FITS metadata. The scheme is a fixed value of the archive's locators."""
     low = F.lower(address)
     return low.startswith("mast:") | low.contains(".fits") | low.contains(".fit")
