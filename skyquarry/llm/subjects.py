@@ -207,7 +207,7 @@ def train(documents: list[tuple[str, list[str]]], rounds: int = 4) -> Classifier
 
 def _classify(model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classifier = model.value
+        classifier = Classifier(*model.value)
         for pdf in batches:
             found = [(d, s) for d, own in zip(pdf.doc, classifier.of_documents(pdf.text.tolist())) for s in own]
             yield pd.DataFrame(found, columns=["doc", "subject"])
@@ -233,5 +233,6 @@ def subjects_of(documents: DataFrame, key: str, text: str, labels: DataFrame, la
     schema = f"doc {dict(texts.dtypes)['doc']}, subject string"
     if model is None:
         return spark.createDataFrame([], schema).withColumnRenamed("doc", key)
-    shared = spark.sparkContext.broadcast(model)  # bounded by the training sample
+    # plain values, as a broadcast object would need this package on every executor; bounded by the training sample
+    shared = spark.sparkContext.broadcast((model.subjects, model.ids, model.pairs, model.one, model.two, model.margin))
     return texts.mapInPandas(_classify(shared), schema).distinct().withColumnRenamed("doc", key)
