@@ -257,10 +257,10 @@ def fits_value_type(spark, sf_dir):
 
 @query("SELECT DISTINCT header_id, CAST(CASE WHEN bitpix IN (8, 16, 32, 64, -32, -64) THEN abs(bitpix) // 8 * 1024 * (ext_index + 1) ELSE -1 END AS BIGINT) AS bytes FROM fits_headers WHERE ext_index IS NOT NULL AND bitpix IS NOT NULL")
 def fits_data_size(spark, sf_dir):
-    """Size of the data segment of each header unit, as an image of 1024 x (ext_index + 1)."""
+    """Size of the data segment of each header unit, as an image of 1024 x (ext_index + 1); -1 without BITPIX."""
     axes = F.array(F.lit(1024).cast("long"), F.col("ext_index") + 1)
     none = F.lit(None).cast("long")
-    return table(spark, sf_dir, "fits_headers").where("ext_index is not null and bitpix is not null").select("header_id", fitsvalues.data_size(F.col("bitpix"), axes, none, none, F.lit(False)).alias("bytes")).distinct()
+    return table(spark, sf_dir, "fits_headers").select("header_id", fitsvalues.data_size(F.col("bitpix"), axes, none, none, F.lit(False)).alias("bytes")).distinct()
 
 
 @query(OBS + "SELECT obsid, round(s_ra - 1e-4 * (5 - 10), 9) AS ra, round(s_dec + 1e-4 * (6 - 20), 9) AS dec FROM obs WHERE s_dec IS NOT NULL AND s_ra IS NOT NULL AND NOT isnan(s_ra)")
