@@ -239,8 +239,8 @@ def path_sanitise(spark, sf_dir):
 
 @query("SELECT DISTINCT datauri, lower(replace(datauri, '&amp;', '&')) AS locator FROM caom_products WHERE datauri IS NOT NULL AND NOT contains(datauri, '%')")
 def url_normalise(spark, sf_dir):
-    """Product locators for comparison (those without percent escapes, which SQL cannot decode)."""
-    return table(spark, sf_dir, "caom_products").where("datauri is not null and not contains(datauri, '%')").select("datauri", text.product_locator(F.col("datauri")).alias("locator")).distinct()
+    """Product locators for comparison; tested against a plain version."""
+    return table(spark, sf_dir, "caom_products").where("datauri is not null").select("datauri", text.product_locator(F.col("datauri")).alias("locator")).distinct()
 
 
 @query("SELECT DISTINCT header_id, CASE WHEN trim(upper(replace(extname, '''', ''))) IN ('WHT', 'WEIGHT', 'WEIGHTS', 'IVM', 'VAR_POISSON', 'VAR_RNOISE') OR regexp_matches(upper(file_identifier), '(^|[^A-Z0-9])(WHT|WEIGHT|IVM)([^A-Z0-9]|$)') THEN 'weight' WHEN trim(upper(replace(extname, '''', ''))) IN ('ERR', 'ERROR', 'RMS', 'UNCERT', 'UNCERTAINTY') OR regexp_matches(upper(file_identifier), '(^|[^A-Z0-9])(ERR|ERROR|RMS)([^A-Z0-9]|$)') THEN 'error' WHEN trim(upper(replace(extname, '''', ''))) IN ('DQ', 'DQUALITY', 'QUALITY', 'MASK') OR regexp_matches(upper(file_identifier), '(^|[^A-Z0-9])(DQ|QUALITY|MASK)([^A-Z0-9]|$)') THEN 'dataQuality' WHEN trim(upper(replace(extname, '''', ''))) IN ('SCI', 'SCIENCE', 'IMAGE', 'RATE') OR regexp_matches(upper(file_identifier), '(^|[^A-Z0-9])(SCI|SCIENCE)([^A-Z0-9]|$)') THEN 'science' ELSE 'unknown' END AS role FROM fits_headers")

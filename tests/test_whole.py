@@ -29,3 +29,19 @@ def test_units_without_bitpix_are_sized(same, duck, data):
     got = same("fits_data_size", "SELECT DISTINCT header_id, CAST(CASE WHEN bitpix IN (8, 16, 32, 64, -32, -64) AND ext_index IS NOT NULL THEN abs(bitpix) // 8 * 1024 * (ext_index + 1) ELSE -1 END AS BIGINT) AS bytes FROM fits_headers")
     (units,) = duck(data()).execute("SELECT count(DISTINCT header_id) FROM fits_headers").fetchone()
     assert len({h for _, h in got}) == units and any(b == -1 for b, _ in got)
+
+
+def test_locators_with_escapes_are_decoded(spark, data):
+    from urllib.parse import unquote
+
+    folder = data()
+    uris = {r.datauri for r in spark.read.parquet(f"{folder}/caom_products.parquet").where("datauri is not null").select("datauri").collect()}
+    got = [tuple(r) for r in QUERIES["url_normalise"](spark, folder).collect()]
+    assert sorted(got) == sorted((u, unquote(u.replace("&amp;", "&")).lower()) for u in uris) and any("%" in u for u in uris)
+
+
+def test_locators_of_a_small_table(spark, tmp_path):
+    uris = ["mast:HST/product/hst%5F1001", "mast:HST/product/hst_1001", "a%20B+c&amp;d", "50%zz", None]
+    spark.createDataFrame([(u,) for u in uris], "datauri string").write.parquet(f"{tmp_path}/caom_products.parquet")
+    got = {r.datauri: r.locator for r in QUERIES["url_normalise"](spark, str(tmp_path)).collect()}
+    assert got == {uris[0]: "mast:hst/product/hst_1001", uris[1]: "mast:hst/product/hst_1001", uris[2]: "a b+c&d", uris[3]: "50%zz"}
