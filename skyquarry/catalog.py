@@ -86,7 +86,7 @@ _jwst = "obs_collection = 'JWST' AND NOT isnan(t_min) AND t_min < 1e6"
 @query(OBS + f", j AS (SELECT * FROM obs WHERE {_jwst}), m AS (SELECT quantile_cont(t_min, 0.5) AS epoch FROM j WHERE t_min > 0) SELECT filters, obsid FROM (SELECT *, row_number() OVER (PARTITION BY filters ORDER BY abs(t_min - epoch), obsid) AS rn FROM j, m) WHERE rn = 1")
 def closest_epoch(spark, sf_dir):
     """For each filter the observation closest to the median epoch."""
-    return groups.closest_epoch(observations(spark, sf_dir).where("obs_collection = 'JWST' AND NOT isnan(t_min) AND t_min < 1e6")).select("filters", "obsid")
+    return groups.closest_epoch(observations(spark, sf_dir).select("filters", "obsid", "t_min")).select("filters", "obsid")
 
 
 @query(OBS + f"SELECT DISTINCT filters, {_wavelength} AS wavelength FROM obs WHERE filters IS NOT NULL")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyquarry.functions import keys
+from skyquarry.session import usable
 
 #: Named bands and the filters they hold; a filter may be in several.
 BANDS = {
@@ -15,6 +16,8 @@ BANDS = {
     "Mid-IR": ["F560W", "F770W", "F1130W", "F2100W"],
     "Broad": ["TESS", "MIRVIS", "detection"],
 }
+#: Fixed value: starts (MJD) from here on stand for missing ones.
+NO_START = 1e6
 #: Columns that make two observations the same.
 IDENTITY = ["obs_id", "filters", "instrument_name", "t_min", "t_max"]
 
@@ -33,11 +36,14 @@ def first_per_filter(df: DataFrame) -> DataFrame:
 def closest_epoch(df: DataFrame) -> DataFrame:
     """For each filter the observation closest to the median start; starts up to 0 don't count for the median.
 
-    Without any positive start the first by obsid is taken.
+    Starts that are missing, not finite or from ``NO_START`` on don't count for it either, and their
+    observations come after all others, in order of obsid. Without any positive start the first by obsid is taken.
     """
-    median = df.where("t_min > 0").agg(F.percentile("t_min", 0.5).alias("epoch"))
+    known = usable("t_min") & (F.col("t_min") < NO_START)
+    median = df.where(known & (F.col("t_min") > 0)).agg(F.percentile("t_min", 0.5).alias("epoch"))
     with_epoch = df.crossJoin(F.broadcast(median))  # one row
-    return _pick(with_epoch, F.col("filters"), [F.coalesce(F.abs(F.col("t_min") - F.col("epoch")), F.lit(float("inf"))), F.col("obsid")]).drop("epoch")
+    distance = F.when(known, F.abs(F.col("t_min") - F.col("epoch")))
+    return _pick(with_epoch, F.col("filters"), [F.coalesce(distance, F.lit(float("inf"))), F.col("obsid")]).drop("epoch")
 
 
 def observation_groups(df: DataFrame, order: str = "filter") -> DataFrame:

@@ -8,6 +8,9 @@ from collections import Counter
 import pytest
 from test_queries import QUERIES, norm
 
+from skyquarry.catalog import OBS
+from skyquarry.operators import groups
+
 
 @pytest.fixture(scope="module")
 def same(spark, data, duck):
@@ -45,3 +48,18 @@ def test_locators_of_a_small_table(spark, tmp_path):
     spark.createDataFrame([(u,) for u in uris], "datauri string").write.parquet(f"{tmp_path}/caom_products.parquet")
     got = {r.datauri: r.locator for r in QUERIES["url_normalise"](spark, str(tmp_path)).collect()}
     assert got == {uris[0]: "mast:hst/product/hst_1001", uris[1]: "mast:hst/product/hst_1001", uris[2]: "a b+c&d", uris[3]: "50%zz"}
+
+
+def test_closest_epoch_of_all_observations(same, duck, data):
+    got = same("closest_epoch", OBS + ", u AS (SELECT *, coalesce(isfinite(t_min) AND t_min < 1e6, false) AS ok FROM obs), m AS (SELECT quantile_cont(t_min, 0.5) AS epoch FROM u WHERE ok AND t_min > 0) SELECT filters, obsid FROM (SELECT *, row_number() OVER (PARTITION BY filters ORDER BY CASE WHEN ok THEN abs(t_min - epoch) ELSE 'inf'::DOUBLE END, obsid) AS rn FROM u, m) WHERE rn = 1")
+    (texts,) = duck(data()).execute("SELECT count(*) FROM (SELECT DISTINCT filters FROM caom_obs)").fetchone()
+    assert len(got) == texts
+
+
+def test_closest_epoch_with_unusable_starts(spark):
+    nan = float("nan")
+    starts = [("a", 1, nan), ("a", 2, 58000.0), ("b", 4, 1e20), ("b", 3, nan), ("b", 5, None), ("c", 7, nan), ("c", 6, None), ("d", 8, 58010.0), ("e", 9, 1e20), ("e", 10, -999.0), ("f", 11, 58020.0)]
+    got = groups.closest_epoch(spark.createDataFrame(starts, "filters string, obsid long, t_min double"))
+    assert sorted((r.filters, r.obsid) for r in got.collect()) == [("a", 2), ("b", 3), ("c", 6), ("d", 8), ("e", 10), ("f", 11)]
+    late = spark.createDataFrame([("x", 1, 10.0), ("x", 2, 20.0), ("x", 3, 30.0), ("y", 4, nan), ("y", 5, 1e20), ("y", 6, float("inf"))], "filters string, obsid long, t_min double")
+    assert {r.obsid for r in groups.closest_epoch(late).collect()} == {2, 4}
