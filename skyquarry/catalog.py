@@ -234,7 +234,7 @@ def effective_time(spark, sf_dir):
 @query(OBS + r"SELECT DISTINCT filters, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(trim(filters), '[^A-Za-z0-9._-]', '_', 'g'), '__+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'none') AS part FROM obs WHERE filters IS NOT NULL AND NOT contains(filters, chr(9))")
 def path_sanitise(spark, sf_dir):
     """Filters as part of a storage path."""
-    return observations(spark, sf_dir).where("filters is not null and not contains(filters, '\\t')").select("filters", text.path_part(F.col("filters"), "none").alias("part")).distinct()
+    return observations(spark, sf_dir).where("filters is not null").select("filters", text.path_part(F.col("filters"), "none").alias("part")).distinct()
 
 
 @query("SELECT DISTINCT datauri, lower(replace(datauri, '&amp;', '&')) AS locator FROM caom_products WHERE datauri IS NOT NULL AND NOT contains(datauri, '%')")

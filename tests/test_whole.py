@@ -63,3 +63,15 @@ def test_closest_epoch_with_unusable_starts(spark):
     assert sorted((r.filters, r.obsid) for r in got.collect()) == [("a", 2), ("b", 3), ("c", 6), ("d", 8), ("e", 10), ("f", 11)]
     late = spark.createDataFrame([("x", 1, 10.0), ("x", 2, 20.0), ("x", 3, 30.0), ("y", 4, nan), ("y", 5, 1e20), ("y", 6, float("inf"))], "filters string, obsid long, t_min double")
     assert {r.obsid for r in groups.closest_epoch(late).collect()} == {2, 4}
+
+
+def test_filters_with_tabs_get_a_path_part(same):
+    got = same("path_sanitise", OBS + r"SELECT DISTINCT filters, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(trim(filters), '[^A-Za-z0-9._-]', '_', 'g'), '__+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'none') AS part FROM obs WHERE filters IS NOT NULL")
+    assert any("\t" in f for f, _ in got)
+
+
+def test_path_parts_of_a_small_table(spark, tmp_path):
+    want = {"F1\tF2": "F1_F2", "\tg\t": "g", " \t ": "none", "a\t\tb c": "a_b_c", "r": "r"}
+    rows = [(i, f, None) for i, f in enumerate([*want, None])]
+    spark.createDataFrame(rows, "obsid long, filters string, ingested_at timestamp").write.parquet(f"{tmp_path}/caom_obs.parquet")
+    assert {r.filters: r.part for r in QUERIES["path_sanitise"](spark, str(tmp_path)).collect()} == want
