@@ -273,8 +273,8 @@ def wcs_world(spark, sf_dir):
 
 @query("SELECT word AS keyword, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY word")
 def keyword_frequency(spark, sf_dir):
-    """Frequency of every word of the texts."""
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    """Frequency of every word of the texts: letters of any script with their marks."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0)))
     return table(spark, sf_dir, "documents").select(words.alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n"))
 
 

@@ -75,3 +75,15 @@ def test_path_parts_of_a_small_table(spark, tmp_path):
     rows = [(i, f, None) for i, f in enumerate([*want, None])]
     spark.createDataFrame(rows, "obsid long, filters string, ingested_at timestamp").write.parquet(f"{tmp_path}/caom_obs.parquet")
     assert {r.filters: r.part for r in QUERIES["path_sanitise"](spark, str(tmp_path)).collect()} == want
+
+
+def test_words_of_all_languages_are_counted(same):
+    got = same("keyword_frequency", r"SELECT word AS keyword, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}[\p{L}\p{M}]*')) AS word FROM documents) GROUP BY word")
+    assert any(not word.isascii() for word, _ in got)
+
+
+def test_words_of_a_small_table(spark, tmp_path):
+    texts = ["Geprüft, geprüft; días 42", "観測ログ λ_1 слово", "résumé हिन्दी", None, ""]
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.keyword: r.n for r in QUERIES["keyword_frequency"](spark, str(tmp_path)).collect()}
+    assert got == {"geprüft": 2, "días": 1, "観測ログ": 1, "λ": 1, "слово": 1, "résumé": 1, "हिन्दी": 1}
