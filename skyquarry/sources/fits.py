@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BLOCK, CARD = 2880, 80
-MOST_HEADERS = 64
 #: Sample types by BITPIX.
 PIXELS = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 HDU_SCHEMA = (
@@ -118,10 +117,10 @@ class Unit:
         return len(self.dims) >= 2 and all(n > 0 for n in self.dims) and self.data_size > 0
 
 
-def units(file, size: int, most: int = MOST_HEADERS, stop_at_image: bool = False) -> Iterator[Unit]:
-    """Header units of an open file, read block by block; data segments are skipped."""
+def units(file, size: int, most: int | None = None, stop_at_image: bool = False) -> Iterator[Unit]:
+    """Header units of an open file, all or the first ``most``, read block by block; data segments are skipped."""
     start, index = 0, 0
-    while start < size and index < most:
+    while start < size and (most is None or index < most):
         file.seek(start)
         data, found = b"", None
         while found is None:
@@ -173,7 +172,7 @@ class FilePartition(InputPartition):
 class FitsReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
-        self.most = int(options.get("maxHeaders", MOST_HEADERS))
+        self.most = int(options["maxHeaders"]) if "maxHeaders" in options else None
         self.stop = options.get("stopAtImage", "false").lower() == "true"
 
     def partitions(self):
@@ -189,7 +188,7 @@ class FitsReader(DataSourceReader):
 
 
 class FitsSource(DataSource):
-    """Options: path (file, pattern or folder), maxHeaders, stopAtImage."""
+    """Options: path (file, pattern or folder), maxHeaders (default: all), stopAtImage."""
 
     @classmethod
     def name(cls):
@@ -207,7 +206,7 @@ def register(spark: SparkSession) -> None:
 
 
 def read_headers(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """One row per header unit of the files; truncated and foreign files give the units that can be read."""
+    """One row per header unit of the files, all of them unless ``maxHeaders`` is given; truncated and foreign files give the units that can be read."""
     register(spark)
     return spark.read.format("skyquarry_fits").options(**options).load(path)
 
@@ -219,11 +218,10 @@ def planes(files: DataFrame) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf.path, pdf.content):
-                out = []
                 for u in units(io.BytesIO(content), len(content)):
-                    if u.is_image and u.complete:
+                    if u.is_image and u.complete:  # a frame a plane, as a file may hold any number
                         values, invalid = pixels(u, content[u.data_start : u.data_start + u.data_size])
-                        out.append((path, u.index, string(u.cards, "EXTNAME"), u.dims, values.tolist(), invalid))
-                yield pd.DataFrame(out, columns=["path", "ext_index", "extname", "dims", "pixels", "n_invalid"])
+                        row = (path, u.index, string(u.cards, "EXTNAME"), u.dims, values.tolist(), invalid)
+                        yield pd.DataFrame([row], columns=["path", "ext_index", "extname", "dims", "pixels", "n_invalid"])
 
     return files.select("path", "content").mapInPandas(decode, "path string, ext_index int, extname string, dims array<long>, pixels array<float>, n_invalid long")
