@@ -113,6 +113,17 @@ def reach(shapes: list[Shape]) -> tuple[float, float, float]:
     return ra, dec, 1e-6 + max(separation(ra, dec, *v) + s.radius for s in shapes for v in s.vertices)
 
 
+def band(shapes: list[Shape]) -> tuple[float, float]:
+    """Declinations between which all sample points and edges lie, a little widened; all if one is impossible.
+
+    Edges are straight in right ascension and declination, so a polygon's vertices bound it.
+    """
+    found = [dec for _, dec in samples(shapes)]
+    if any(abs(dec) > 90 for s in shapes for _, dec in s.vertices):
+        return -math.inf, math.inf
+    return min(found) - 1e-6, max(found) + 1e-6
+
+
 def _wrapped(degrees: float) -> float:
     return (degrees + 180.0) % 360.0 - 180.0
 

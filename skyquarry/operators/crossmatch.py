@@ -40,8 +40,11 @@ def crossmatch(targets: DataFrame, target: tuple[str, str, str], catalog: DataFr
 MODES = ("center_inside", "footprint_intersects", "footprint_contained")
 
 
-def match_footprint(source: list[regions.Shape], candidate: str | None, mode: str, ra: float | None = None, dec: float | None = None) -> bool:
-    """One candidate against a parsed source. Without a readable footprint only its position can match."""
+def match_footprint(source: list[regions.Shape], candidate: str | None, mode: str, ra: float | None = None, dec: float | None = None, band: tuple[float, float] | None = None) -> bool:
+    """One candidate against a parsed source. Without a readable footprint only its position can match.
+
+    ``band``, the source's declinations, spares the geometry of footprints that lie outside.
+    """
     shapes = regions.parse(candidate)
     if mode == "center_inside":
         if shapes:
@@ -51,29 +54,31 @@ def match_footprint(source: list[regions.Shape], candidate: str | None, mode: st
         return regions.holds(source, ra, dec)
     if not shapes:
         return False
+    if band:
+        low, high = regions.band(shapes)
+        if low > band[1] or high < band[0]:
+            return False
     return regions.overlap(source, shapes) if mode == "footprint_intersects" else regions.contained(source, shapes)
 
 
-def footprint_search(df: DataFrame, region: str, mode: str = "footprint_intersects", *, most_candidate_radius: float = 2.0) -> DataFrame:
-    """Rows whose footprint matches a region: a declination band in the scan, then the exact test in Arrow batches.
+def footprint_search(df: DataFrame, region: str, mode: str = "footprint_intersects") -> DataFrame:
+    """Rows whose footprint matches a region: the exact test in Arrow batches, over all rows.
 
-    The band is widened by ``most_candidate_radius``, the largest radius of a candidate. A region that
-    can't be read gives no rows.
+    Footprints whose own declinations (``regions.band``) don't meet those of the region are refused
+    first; how far they reach from s_dec doesn't matter. A region that can't be read gives no rows.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     source = regions.parse(region)
     if not source:
         return df.limit(0)
-    _, dec, radius = regions.reach(source)
-    reach = radius + most_candidate_radius
-    coarse = df.where(F.col("s_dec").between(dec - reach, dec + reach) | F.col("s_dec").isNull() | F.isnan("s_dec") | ~F.col("s_dec").between(-90, 90))
+    band = regions.band(source)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[[match_footprint(source, t, mode, a, d) for t, a, d in zip(pdf.s_region, pdf.s_ra, pdf.s_dec)]]
+            yield pdf[[match_footprint(source, t, mode, a, d, band) for t, a, d in zip(pdf.s_region, pdf.s_ra, pdf.s_dec)]]
 
-    return coarse.mapInPandas(keep, df.schema)
+    return df.mapInPandas(keep, df.schema)
 
 
 def region_columns(df: DataFrame, region: str) -> DataFrame:
