@@ -6,7 +6,7 @@ posterior chooses among the readings of a value. Readings that stay undecided ar
 offset in the value holds; otherwise the value is in the record's time scale or civil zone. Civil times
 that occur twice or never (daylight-saving changes) are marked too; the earlier instant is taken.
 
-All parsing stays in the JVM. What leaves it are counts per source and set of formats, a few rows.
+All parsing stays in the JVM. What leaves it are counts per source and set of formats, a few rows a source.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from collections.abc import Iterable
 from datetime import datetime
 from zoneinfo import ZoneInfo, available_timezones
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyquarry.session import cut
+from skyquarry.session import cut, small
 
 #: Offsets of time scales from UTC (later than 2017), and months.
 SCALE_MS = {"TT": 69184, "TAI": 37000, "UTC": 0, "UT": 0, "UT1": 0}
@@ -28,7 +29,7 @@ MJD_UNIX, JD_UNIX = 40587, 2440587.5
 #: Years in which a reading is likely, and in which it is possible at all.
 LIKELY = (1975, 2035)
 POSSIBLE = (1900, 2100)
-#: Most (source, set of formats) pairs for which weights are kept by source; beyond, sources are pooled.
+#: Most sources whose weights are broadcast; beyond, they are joined by a shuffle, with the same result.
 MOST_SOURCES = 20_000
 CERTAIN = 0.9
 
@@ -147,23 +148,25 @@ def zone_letters(zones: Iterable[str]) -> dict[str, int]:
     return out
 
 
-def _em(counts: list, rounds: int = 20) -> dict[str, dict[str, float]]:
-    """Weights of formats per source from rows (source, candidates [(fmt, likelihood)], n)."""
-    weights: dict[str, dict[str, float]] = {}
-    for r in counts:
-        for c in r.sig:
-            weights.setdefault(r.source, {})[c.fmt] = 1.0
+def _em(counts: list[dict], rounds: int = 20) -> dict[str, float]:
+    """Weights of the formats of one source from its rows (sig: candidates (fmt, lik), n)."""
+    weights = {c["fmt"]: 1.0 for r in counts for c in r["sig"]}
     for _ in range(rounds):
-        sums: dict[str, dict[str, float]] = {s: dict.fromkeys(w, 0.01) for s, w in weights.items()}
+        sums = dict.fromkeys(weights, 0.01)
         for r in counts:
-            w = weights[r.source]
-            total = sum(w[c.fmt] * c.lik for c in r.sig)
-            for c in r.sig:
-                sums[r.source][c.fmt] += r.n * w[c.fmt] * c.lik / total
-        weights = {s: {f: v / sum(w.values()) for f, v in w.items()} for s, w in sums.items()}
+            total = sum(weights[c["fmt"]] * c["lik"] for c in r["sig"])
+            for c in r["sig"]:
+                sums[c["fmt"]] += r["n"] * weights[c["fmt"]] * c["lik"] / total
+        weights = {f: v / sum(weights.values()) for f, v in sums.items()}
     return weights
 
 
+def _weights(counts: pa.Table) -> pa.Table:
+    """(source, w) of one source's counts."""
+    w = pa.array([list(_em(counts.to_pylist()).items())], pa.map_(pa.string(), pa.float64()))
+    return pa.table({"source": counts["source"].slice(0, 1), "w": w})
+
+
 def to_utc(
     df: DataFrame,
     key: str,
@@ -217,13 +220,9 @@ def to_utc(
     read = read.withColumn("sig", F.transform("cands", lambda c: F.struct(c["fmt"].alias("fmt"), likely(c).alias("lik"))))
 
     counts = read.groupBy("source", "sig").agg(F.count("*").alias("n"))
-    found = counts.limit(MOST_SOURCES + 1).collect()
-    pooled = len(found) > MOST_SOURCES
-    if pooled:
-        found = counts.groupBy("sig").agg(F.sum("n").alias("n")).select(F.lit("").alias("source"), "sig", "n").collect()
-    weights = _em(found)
-    table = df.sparkSession.createDataFrame([(s, w) for s, w in weights.items()] or [("", {"": 1.0})], "source string, w map<string,double>")
-    read = read.withColumn("of", F.lit("") if pooled else F.col("source")).join(F.broadcast(table.withColumnRenamed("source", "of")), "of")  # at most MOST_SOURCES rows
+    # a source has a bounded set of format sets, so its counts fit in a batch
+    weights = cut(counts.groupBy("source").applyInArrow(_weights, "source string, w map<string,double>"))
+    read = read.join(small(weights, MOST_SOURCES), "source")
     scored = F.transform("cands", lambda c, i: F.struct((F.try_element_at("w", c["fmt"]) * F.col("sig")[i]["lik"]).alias("p"), (-i).alias("i"), c["fmt"].alias("fmt"), c["ms"].alias("ms"), c["zone"].alias("zone")))
     read = read.withColumn("scored", scored)
     read = read.select("rid", "civil", "scale", F.array_max("scored").alias("best"), F.aggregate("scored", F.lit(0.0), lambda a, c: a + c["p"]).alias("total"))
