@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skyquarry.session import usable
+
 #: Sort wavelengths of filters that have names instead of numbers, in nm.
 NAMED_WAVELENGTHS = {
     "FUV": 153, "NUV": 231, "UVW2": 193, "UVM2": 225, "UVW1": 260, "U": 346, "B": 439, "V": 547,
@@ -54,5 +56,6 @@ def filter_wavelength(filters: Column) -> Column:
 
 
 def effective_time(t_min: Column, t_max: Column, t_release: Column) -> Column:
-    """Start if positive, else end if positive, else release."""
-    return F.when(t_min > 0, t_min).when(t_max > 0, t_max).otherwise(t_release)
+    """Start if positive, else end if positive, else release. NaN, which Spark orders above all, is not positive."""
+    positive = lambda t: usable(t) & (t > 0)
+    return F.when(positive(t_min), t_min).when(positive(t_max), t_max).otherwise(t_release)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,26 +15,35 @@ from skyquarry.functions import regions, sphere
 def crossmatch(targets: DataFrame, target: tuple[str, str, str], catalog: DataFrame, entry: tuple[str, str, str], radius: Column | float, *, zone_deg: float = 0.5) -> DataFrame:
     """(target key, entry key, separation in degrees) of entries within each target's own radius.
 
-    Targets are copied to every zone they reach, an entry is in one; zones join by equality, right
-    ascension is a residual window that respects the turn at 360 and opens near the poles. Rows without
-    a position or with an impossible declination make no pair. ``zone_deg`` should be near the usual
-    radius: lower zones mean more copies of targets, higher ones more candidates.
+    The sky is cut into zones of declination and each zone into cells of right ascension about as wide as
+    it is high. An entry is in one cell, a target is copied to every cell it reaches; they join on (zone,
+    cell), so a crowded zone is many keys and the candidates of a pair are neighbours. Cells count modulo
+    the turn at 360 and a target near a pole reaches all cells. Rows without a position or with an
+    impossible declination make no pair. ``zone_deg`` should be near the usual radius: smaller cells mean
+    more copies of targets, larger ones more candidates.
     """
-    height = zone_deg
     tk, tr, td = target
     ek, er, ed = entry
-    zone = lambda d: F.floor((d + 90) / height)
+    last = math.ceil(180 / zone_deg) - 1
+    zone = lambda d: F.least(F.floor((d + 90) / zone_deg), F.lit(last))
+    # cells of a zone, by the cosine at its edge nearer to a pole
+    edge = F.greatest(F.abs(F.col("zone") * zone_deg - 90), F.abs((F.col("zone") + 1) * zone_deg - 90))
+    cells = F.greatest(F.lit(1), F.floor(F.cos(F.radians(F.least(edge, F.lit(90.0)))) * 360 / zone_deg))
     r = radius if isinstance(radius, Column) else F.lit(float(radius))
     a = targets.select(F.col(tk).alias("ta"), sphere.normal_ra(F.col(tr)).alias("ra1"), F.col(td).alias("de1"), r.alias("r"))
     a = a.where("de1 between -90 and 90 and not isnan(ra1) and r > 0 and ra1 is not null")
     open_ = F.abs("de1") + F.col("r") >= 89.999
     a = a.withColumn("alpha", F.when(open_, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians("r")) / F.cos(F.radians(F.when(open_, 0.0).otherwise(F.col("de1")))))))))
-    a = a.withColumn("zone", F.explode(F.sequence(zone(F.greatest(F.lit(-90.0), F.col("de1") - F.col("r"))), zone(F.least(F.lit(90.0), F.col("de1") + F.col("r"))))))
-    b = catalog.select(F.col(ek).alias("eb"), sphere.normal_ra(F.col(er)).alias("ra2"), F.col(ed).alias("de2")).where("de2 between -90 and 90 and not isnan(ra2) and ra2 is not null").withColumn("zone", zone(F.col("de2")))
+    a = a.withColumn("zone", F.explode(F.sequence(zone(F.greatest(F.lit(-90.0), F.col("de1") - F.col("r"))), zone(F.least(F.lit(90.0), F.col("de1") + F.col("r")))))).withColumn("n", cells)
+    low, high = (F.floor((F.col("ra1") + s * (F.col("alpha") + 1e-9)) * F.col("n") / 360) for s in (-1, 1))
+    reached = F.when(high - low + 1 >= F.col("n"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.transform(F.sequence(low, high), lambda c: F.pmod(c, F.col("n"))))
+    a = a.withColumn("cell", F.explode(reached))
+    b = catalog.select(F.col(ek).alias("eb"), sphere.normal_ra(F.col(er)).alias("ra2"), F.col(ed).alias("de2")).where("de2 between -90 and 90 and not isnan(ra2) and ra2 is not null")
+    b = b.withColumn("zone", zone(F.col("de2"))).withColumn("cell", F.least(F.floor(F.col("ra2") * cells / 360), cells - 1))
     turn = F.abs(F.pmod(F.col("ra2") - F.col("ra1") + 180, F.lit(360.0)) - 180)
     distance = sphere.separation(F.col("ra1"), F.col("de1"), F.col("ra2"), F.col("de2"))
     near = F.abs(F.col("de2") - F.col("de1")) <= F.col("r") + 1e-9
-    return a.join(b, "zone").where(near & (turn <= F.col("alpha") + 1e-9)).withColumn("separation", distance).where(F.col("separation") <= F.col("r")).select(F.col("ta").alias(tk), F.col("eb").alias(ek), "separation")
+    return a.join(b, ["zone", "cell"]).where(near & (turn <= F.col("alpha") + 1e-9)).withColumn("separation", distance).where(F.col("separation") <= F.col("r")).select(F.col("ta").alias(tk), F.col("eb").alias(ek), "separation")
 
 
 #: Ways in which a candidate footprint matches a source footprint.

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyquarry.functions import keys
-from skyquarry.session import usable
+from skyquarry.session import cut, small, usable
 
 #: Named bands and the filters they hold; a filter may be in several.
 BANDS = {
@@ -46,22 +46,61 @@ def closest_epoch(df: DataFrame) -> DataFrame:
     return _pick(with_epoch, F.col("filters"), [F.coalesce(distance, F.lit(float("inf"))), F.col("obsid")]).drop("epoch")
 
 
-def observation_groups(df: DataFrame, order: str = "filter") -> DataFrame:
-    """Groups by (mission, key, instrument) with their products as an array in order of wavelength or time."""
+GROUP = ["mission", "observation_key", "instrument"]
+
+
+def group_products(df: DataFrame, order: str = "filter") -> DataFrame:
+    """Rows of observations with their group (mission, observation_key, instrument), wavelength, time and position.
+
+    ``position`` counts a group's products from 1 in order of wavelength, time, filter text and obsid, or
+    of time first (``order="time"``); missing times and texts come first. Products stay rows: a group of
+    any size is spread over the partitions of one range sort, in which ranks are counted apart and
+    completed by the counts of the partitions before, so no group is gathered in one task.
+    """
     wavelength = keys.filter_wavelength(F.col("filters"))
     time = keys.effective_time(F.col("t_min"), F.col("t_max"), F.col("t_obs_release"))
-    first = [wavelength.alias("wavelength"), time.alias("time")] if order == "filter" else [time.alias("time"), wavelength.alias("wavelength")]
-    product = F.struct(*first, F.col("filters"), F.col("obsid"))
-    return (
-        df.groupBy(keys.mission(F.col("obs_collection")).alias("mission"), keys.group_key(F.col("obs_collection"), F.col("obs_id")).alias("observation_key"), F.col("instrument_name").alias("instrument"))
-        .agg(F.array_sort(F.collect_list(product)).alias("products"))
+    rows = df.select(
+        keys.mission(F.col("obs_collection")).alias("mission"), keys.group_key(F.col("obs_collection"), F.col("obs_id")).alias("observation_key"),
+        F.col("instrument_name").alias("instrument"), wavelength.alias("wavelength"), time.alias("time"), "filters", "obsid",
     )
+    by = ["wavelength", "time", "filters", "obsid"] if order == "filter" else ["time", "wavelength", "filters", "obsid"]
+    placed = cut(rows.repartitionByRange(*GROUP, *by).withColumn("part", F.spark_partition_id()))  # both uses must see the same partitions
+    before = placed.groupBy(*GROUP, "part").agg(F.count("*").alias("n"))
+    before = before.withColumn("before", F.sum("n").over(Window.partitionBy(*GROUP).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("part", *GROUP).orderBy(*by)))
+    here = before.where("before is not null").select(*[F.col(g).alias(f"_{g}") for g in GROUP], F.col("part").alias("_part"), "before")
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in GROUP] + [F.col("part") == F.col("_part")]
+    found = ranked.join(small(here, 100_000), same, "left")  # a row for each border that a group crosses
+    return found.select(*rows.columns, (F.col("rank") + F.coalesce("before", F.lit(0))).cast("long").alias("position"))
+
+
+def describe_groups(products: DataFrame) -> DataFrame:
+    """(group, n_products, first_time, last_time, n_filters) of rows with a group: bounded summaries, summed map-side."""
+    return products.groupBy(*GROUP).agg(
+        F.count("*").alias("n_products"), F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.countDistinct("filters").alias("n_filters")
+    )
 
 
-def describe_groups(groups: DataFrame) -> DataFrame:
-    """Groups with their product count and the list of filters as text."""
-    names = F.transform("products", lambda p: p["filters"])
-    return groups.select("mission", "observation_key", "instrument", F.size("products").alias("n_products"), F.array_join(names, " | ", "").alias("filter_names"), F.array_join(F.transform("products", lambda p: p["obsid"].cast("string")), ",").alias("obsids"))
+def first_groups(products: DataFrame, limit: int) -> DataFrame:
+    """The products of the first ``limit`` groups in order of mission, key and instrument; none for a limit up to 0."""
+    if limit <= 0:
+        return products.limit(0)
+    first = products.select(*GROUP).distinct().orderBy(*GROUP).limit(limit)
+    return products.join(small(first, 10_000), [products[g].eqNullSafe(first[g]) for g in GROUP], "left_semi")
+
+
+def by_filter(df: DataFrame) -> DataFrame:
+    """Rows with how many rows their filter has and when the first of them starts; the rows themselves stay apart."""
+    counts = df.groupBy("filters").agg(F.count("*").alias("n_of_filter"), F.min("t_min").alias("first_start"))
+    theirs = small(counts.withColumnRenamed("filters", "_f"), 50_000)
+    return df.join(theirs, F.col("filters").eqNullSafe(F.col("_f"))).drop("_f")
+
+
+def id_summary(df: DataFrame) -> DataFrame:
+    """Times, and distinct filters and instruments in order, of each observation id; unusable times don't count."""
+    start = F.when(usable("t_min"), F.col("t_min"))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")  # noqa: E731 - distinct filters of one observation
+    return df.groupBy("obs_id").agg(F.min(start).alias("first_start"), F.max(start).alias("last_start"), listed("filters").alias("filters"), listed("instrument_name").alias("instruments"), F.count("*").alias("n"))
 
 
 def band_counts(df: DataFrame) -> DataFrame:
@@ -82,8 +121,6 @@ def round_robin(df: DataFrame, by: str, order: list[Column], n: int) -> DataFram
 
     A group can give at most ``n`` of them, so the top n of each are kept first (partial per task).
     """
-    from pyspark.sql import Window
-
     turn = F.row_number().over(Window.partitionBy(by).orderBy(*order))
     return df.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", by).limit(n)
 

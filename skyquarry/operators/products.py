@@ -31,20 +31,40 @@ def match_locators(obs: DataFrame, address: str, products: DataFrame) -> DataFra
     return pairs.groupBy("obsid", "address").agg(F.min(F.struct("product_id", "size")).alias("b")).select("obsid", "address", "b.product_id", "b.size")
 
 
-def route(obs: DataFrame) -> DataFrame:
-    """(obsid, route): direct for web addresses, service for the others that are not the same observation as a direct one."""
-    direct = obs.where(F.col("dataurl").contains("http"))
-    service = obs.where(~F.col("dataurl").contains("http"))
-    same = [service[c].eqNullSafe(direct[c]) for c in IDENTITY]
-    left = service.join(direct, same, "left_anti").dropDuplicates(IDENTITY)
+def preview_routes(obs: DataFrame) -> DataFrame:
+    """(obsid, route) to each preview: direct for a web address, service for the others.
+
+    The address is the preview's, or the data's where there is none; a missing one counts as empty, so the
+    service has to find it. Of the same observation (IDENTITY) delivered under several ids the service gets
+    the smallest obsid, and none if any of them is direct.
+    """
+    address = F.coalesce(F.nullif("jpegurl", F.lit("")), "dataurl", F.lit(""))
+    rows = obs.select("obsid", *IDENTITY, address.contains("http").alias("web"))
+    direct = rows.where("web")
+    others = rows.where("not web").groupBy(*IDENTITY).agg(F.min("obsid").alias("obsid"))
+    same = [others[c].eqNullSafe(direct[c]) for c in IDENTITY]
+    left = others.join(direct, same, "left_anti")
     return direct.select("obsid", F.lit("direct").alias("route")).unionAll(left.select("obsid", F.lit("service").alias("route")))
 
 
-def preview_urls(obs: DataFrame) -> DataFrame:
-    """(obsid, kind, url): previews and data addresses of all but TESS, one row each."""
-    kept = obs.where(F.coalesce(F.col("obs_collection") != "TESS", F.lit(True)))
-    parts = [kept.where(f"{c} <> ''").select("obsid", F.lit(c).alias("kind"), F.col(c).alias("url")) for c in ("jpegurl", "dataurl")]
-    return parts[0].unionAll(parts[1])
+def product_routes(obs: DataFrame, kind: str = "fits") -> DataFrame:
+    """(obsid, route) of every observation by the address of one kind of product, ``fits`` or ``jpeg``; missing ones go to the service."""
+    address = F.coalesce(F.col({"fits": "dataurl", "jpeg": "jpegurl"}[kind]), F.lit(""))
+    return obs.select("obsid", F.when(address.contains("http"), "direct").otherwise("service").alias("route"))
+
+
+def product_urls(obs: DataFrame, preview: bool = False) -> DataFrame:
+    """(obsid, kind, url): the addresses of previews and of data, one row each.
+
+    For a preview of the search itself only data addresses count, without those of TESS.
+    """
+
+    def of(column: str) -> DataFrame:
+        return obs.where(F.col(column) != "").select("obsid", F.lit(column).alias("kind"), F.col(column).alias("url"), "obs_collection")
+
+    if preview:
+        return of("dataurl").where(~F.col("obs_collection").eqNullSafe("TESS")).drop("obs_collection")
+    return of("jpegurl").unionAll(of("dataurl")).drop("obs_collection")
 
 
 def enrich_sizes(obs: DataFrame, address: str, by_product: DataFrame, cache: DataFrame) -> DataFrame:

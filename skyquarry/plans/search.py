@@ -24,12 +24,40 @@ def cone(df: DataFrame, ra: float, dec: float, radius: float = DEFAULT_RADIUS, r
     return found.withColumn("distance_arcsec", sphere.separation(F.lit(ra), F.lit(dec), F.col(ra_column), F.col(dec_column)) * 3600)
 
 
-def box(df: DataFrame, ra: float, dec: float, radius: float, *not_null: str, top: int = 100_000) -> DataFrame:
-    """Rows in a box of coordinates, with given columns not null; at most ``top``."""
-    found = df.where(F.col("s_ra").between(ra - radius, ra + radius) & F.col("s_dec").between(dec - radius, dec + radius))
+def box(df: DataFrame, ra: float, dec: float, radius: float, *not_null: str, top: int | None = 100_000, order: str = "obsid", ra_column: str = "s_ra", dec_column: str = "s_dec") -> DataFrame:
+    """Rows in a box of coordinates, with given columns not null; the first ``top`` by ``order``, all for None."""
+    found = df.where(F.col(ra_column).between(ra - radius, ra + radius) & F.col(dec_column).between(dec - radius, dec + radius))
     for c in not_null:
         found = found.where(F.col(c).isNotNull())
-    return found.limit(top)
+    return found if top is None else found.orderBy(order).limit(top)
+
+
+def keyword_cone(df: DataFrame, columns: list[str], ra: float, dec: float, radius: float = DEFAULT_RADIUS, *, most: int = 20, distinct: bool = True) -> DataFrame:
+    """The classic cone request: some columns, without repeated rows, the first ``most`` in their order."""
+    found = df.where(within(ra, dec, radius)).select(*columns)
+    return (found.distinct() if distinct else found).orderBy(*columns).limit(most)
+
+
+def of_target(df: DataFrame, target: str, mission: str) -> DataFrame:
+    """The rows of one target in one mission, in any case of letters."""
+    return df.where((F.lower("target_name") == target.lower()) & (F.upper("obs_collection") == mission.upper()))
+
+
+def values_equal(df: DataFrame, column: str, value) -> DataFrame:
+    """The values, not the rows, of a column that equal a value: one for each row."""
+    return df.select(column).where(F.col(column) == F.lit(value))
+
+
+def ordered(df: DataFrame, columns: list[str], descending: list[bool], most: int | None = None) -> DataFrame:
+    """Rows by up to three order columns, each up or down with nulls last, at most ``most``."""
+    keys = [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in zip(columns[:3], descending)]
+    found = df.orderBy(*keys)
+    return found if most is None else found.limit(most)
+
+
+def page_after(df: DataFrame, key: str, last=None, rows: int = PAGE_ROWS) -> DataFrame:
+    """The next page by a unique key, after the last key seen: it never sorts the pages before."""
+    return (df if last is None else df.where(F.col(key) > F.lit(last))).orderBy(key).limit(max(0, rows))
 
 
 def page(df: DataFrame, order: list[Column], number: int = 1, rows: int = PAGE_ROWS) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from skyquarry import catalog
 from skyquarry.functions import fitsvalues, keys, regions, sphere, text
 from skyquarry.operators import crossmatch, groups, products
 from skyquarry.plans import filters, search
@@ -226,3 +227,65 @@ def test_streams(spark, data, tmp_path):
     q = arrivals.first_deliveries(stream, late="40000 days").select("obsid").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("firsts").count() == spark.read.parquet(f"{folder}/caom_obs.parquet").select("obsid").distinct().count()
+
+
+def test_cone_reaches_the_scan(spark, data):
+    """The declination band is pushed to Parquet, and only what the cone leaves is shuffled."""
+    plan = catalog.cone_search(spark, data())._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(s_dec" in plan and "LessThanOrEqual(s_dec" in plan
+    assert plan.rindex("Exchange") < plan.rindex("Filter")  # plans print from the top: the filter lies below the exchange
+
+
+def test_footprint_far_from_its_centre(spark):
+    """A wide footprint whose centre is far outside the region's declinations is found."""
+    obs = spark.createDataFrame([(1, "CIRCLE ICRS 155 30 12", 155.0, 30.0), (2, "CIRCLE ICRS 155 60 1", 155.0, 60.0)], "obsid long, s_region string, s_ra double, s_dec double")
+    assert [r.obsid for r in crossmatch.footprint_search(obs, "POLYGON ICRS 140 -20 170 -20 170 20 140 20").collect()] == [1]
+
+
+def test_effective_time_of_nan(spark):
+    nan = float("nan")
+    rows = [(1, nan, 5.0, 7.0), (2, nan, nan, 7.0), (3, -1.0, 0.0, 7.0), (4, 3.0, nan, None), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    assert [r.t for r in df.orderBy("id").select(keys.effective_time(F.col("a"), F.col("b"), F.col("c")).alias("t")).collect()] == [5.0, 7.0, 7.0, 3.0, None]
+
+
+def test_crossmatch_cells_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(1)
+    sky = [(i, rng.uniform(0, 360), rng.choice([rng.uniform(-90, 90), rng.uniform(-1, 1), 89.9, -89.95, 90.0])) for i in range(1500)] + [(2000, 359.999, 0.0), (2001, 0.001, 0.0), (2002, None, 1.0), (2003, 5.0, 95.0)]
+    targets = [(i, rng.uniform(0, 360), rng.choice([rng.uniform(-90, 90), 0.0, 89.8]), rng.choice([0.3, 2.0, 7.0])) for i in range(60)] + [(100, 0.0, 0.0, 1.0), (101, -0.5, 0.0, 1.0)]
+    got = crossmatch.crossmatch(spark.createDataFrame(targets, "t long, a double, d double, r double"), ("t", "a", "d"), spark.createDataFrame(sky, "e long, a double, d double"), ("e", "a", "d"), F.col("r"))
+    from skyquarry.functions import regions
+
+    want = sorted((t, e) for t, a, d, r in targets for e, x, y in sky if x is not None and abs(y) <= 90 and regions.separation(a, d, x, y) <= r)
+    assert sorted((x.t, x.e) for x in got.collect()) == want
+
+
+def test_group_positions_cross_partitions(spark):
+    """One group with most rows spans partitions; its positions still count on."""
+    obs = spark.range(3000).selectExpr("id as obsid", "'JWST' as obs_collection", "if(id % 3 = 0, concat('x', id), 'a_b_c_d') as obs_id", "cast(null as string) as instrument_name", "'F200W' as filters", "double(id % 7) as t_min", "double(0) as t_max", "double(0) as t_obs_release")
+    got = groups.group_products(obs.repartition(8)).where("observation_key = 'a_b_c'").collect()
+    by = sorted(got, key=lambda r: r.position)
+    assert [r.position for r in by] == list(range(1, 2001))
+    assert [(r.time, r.obsid) for r in by] == sorted((r.time, r.obsid) for r in got)
+
+
+def test_limits_of_groups(spark, data):
+    from skyquarry.plans import groupsearch
+
+    obs = catalog.observations(spark, data())
+    assert groupsearch.by_cone(obs, 150.0, 2.0, 90.0, limit=0).count() == 0
+    some = groupsearch.by_cone(obs, 150.0, 2.0, 90.0, limit=2).select(*groups.GROUP).distinct().count()
+    assert some == 2
+
+
+def test_groups_by_footprint_against_plain(spark, data):
+    from skyquarry.functions import regions
+    from skyquarry.plans import groupsearch
+
+    obs = catalog.observations(spark, data())
+    source = regions.parse(catalog._SEARCHED)
+    want = {r.obsid for r in groupsearch.imagery(obs).collect() if (s := regions.parse(r.s_region)) and regions.overlap(source, s)}
+    got = [r.obsid for r in catalog.groups_by_footprint(spark, data()).collect()]
+    assert set(got) == want and len(got) == len(want)
