@@ -1,13 +1,21 @@
 """Splitting of texts that hold several values (problem 1).
 
 The separators of a column are not declared, they are learned. Every text is cut into atoms at all
-candidate separators; quoted spans are atomic. The atoms and the places between them form a lattice in
-which each place either separates two values or belongs to one value. A value has a frequency, each
-candidate separator of a column a probability of separating. Both are learned by expectation-maximisation
-from all texts of the column: the frequencies start from the values that are certain (texts of one atom
-and quoted spans), each round runs forward-backward over every lattice and sums the expected counts. The
-last pass is Viterbi. As names that contain a separating character are always quoted, a place whose
-character separates in this column (probability of at least one half) cannot be joined in the last pass.
+candidate characters; quoted spans are atomic. The atoms and the places between them form a lattice in
+which each place either separates two values or lies inside one. Three things are learned by
+expectation-maximisation from all texts of the column: the frequency of each value, the probability that
+a character separates, and the probability that a value holding the character is written without quotes.
+They start from weak priors. The frequencies start from the values that are certain (texts of one atom and
+quoted spans), each round runs forward-backward over every lattice and sums the expected counts, and the
+last pass is Viterbi. Where names that hold a separating character are always quoted, the third
+probability says so, and an unquoted join over that character becomes as unlikely as it is in the column.
+Each distinct text is one witness, however often it is delivered and however many places it has, and a
+join counts by what other texts say of it (its expected count less one), never by itself alone.
+
+A value may span any number of atoms. Joins of up to ``SHORT`` atoms are edges of their own, looked up
+among the frequencies. Longer ones are summed (or maximised) over all their starts in one pass, as a new
+value's score adds up over its atoms; one whose posterior reaches ``LEAST`` becomes an edge in the next round. So
+the lattice grows with the length of a text, not with its square, and no join is left out.
 
 Work is done once per distinct text of a column (pre-aggregated with counts), so hot texts cost nothing
 extra; the rows then meet their split by an equi-join on the text, whose skew AQE splits.
@@ -24,14 +32,17 @@ from pyspark.sql import functions as F
 
 from skyquarry.session import cut
 
-#: Candidate separators and the probability, before any data is seen, that one separates.
-CANDIDATES = {";": 0.9, ",": 0.9, "|": 0.9, "+": 0.9, "&": 0.9, "\t": 0.9, "/": 0.5}
+#: Characters that may separate, with the prior probabilities that one separates and that a value with it inside goes
+#: without quotes. Both weigh as much as two occurrences; what a column's texts say soon outweighs them.
+CANDIDATES = {**dict.fromkeys(";,|+&\t", (0.9, 0.02)), "/": (0.5, 0.5)}
+PRIOR_WEIGHT = 2.0
 BRACKETS = {"[": "]", "(": ")", "{": "}"}
 QUOTES = "\"'"
-#: Share of values not met before, and the factor for each usual separator inside such a value.
-NEW, INSIDE = 0.1, 0.02
-#: Longest value in atoms that a lattice may join. A model parameter: longer joins are not proposed.
-MAX_JOIN = 3
+#: Share of values not met before, and letters a new value is spelled with.
+NEW, LETTERS = 0.1, 40.0
+#: Joins that are edges from the start (not a limit, see above), and the posterior from which a longer one becomes an edge.
+SHORT, LEAST = 3, 1e-6
+LOW = -math.inf
 
 
 def strip_brackets(text: str) -> str:
@@ -103,14 +114,14 @@ def atoms(text: str) -> tuple[list[tuple[str, bool]], list[str]]:
     return found, between
 
 
-def spans(found: list[tuple[str, bool]], between: list[str], max_join: int) -> Iterator[tuple[int, int, str, str]]:
-    """Edges of the lattice: first atom, end, value and the characters joined inside."""
+def spans(found: list[tuple[str, bool]], between: list[str], short: int) -> Iterator[tuple[int, int, str, str]]:
+    """Edges of the lattice of up to ``short`` atoms: first atom, end, value and the characters joined inside."""
     for i, (value, quoted) in enumerate(found):
         yield i, i + 1, value, ""
         inner = ""
         if quoted:
             continue
-        for j in range(i + 1, min(len(found), i + max_join)):
+        for j in range(i + 1, min(len(found), i + short)):
             if found[j][1] or len(between[j - 1]) != 1:
                 break
             inner += between[j - 1]
@@ -119,132 +130,218 @@ def spans(found: list[tuple[str, bool]], between: list[str], max_join: int) -> I
 
 
 def _log_sum(a: float, b: float) -> float:
-    return max(a, b) + math.log1p(math.exp(-abs(a - b))) if max(a, b) > -1e300 else max(a, b)
+    top = max(a, b)
+    return top + math.log1p(math.exp(-abs(a - b))) if top > LOW and min(a, b) > LOW else top
 
 
-def _base(value: str, inner: str) -> float:
-    """Log probability of a new value by its spelling; usual separators inside make it less likely."""
-    return -(len(value) + 1) * math.log(40.0) + sum(math.log(INSIDE) for c in inner if CANDIDATES[c] > 0.5)
+class Model:
+    """What is known of one column: the mass of all values, and of each character how often it separates and how
+    often a value with it inside goes without quotes."""
 
+    def __init__(self, total: float, separates: dict[str, float], unquoted: dict[str, float]):
+        self.total = max(total, 1e-9)
+        self.split = {c: math.log(max(1e-9, p)) for c, p in separates.items()}
+        self.join = {c: math.log(max(1e-9, 1 - p)) + math.log(max(1e-9, unquoted[c])) for c, p in separates.items()}
+
+    def known(self, count: float) -> float:
+        return math.log((1 - NEW) * count / self.total) if count > 0 else LOW
 
-class Lattice:
-    """One text's lattice under the present frequencies. edges: (i, j, value, inner, count so far)."""
 
-    def __init__(self, n_atoms: int, between: list[str], edges, total: float, splits: dict[str, float]):
-        self.n, self.between, self.splits = n_atoms, between, splits
-        self.into: list[list[tuple[int, float, str, str]]] = [[] for _ in range(n_atoms + 1)]
+class Lattice:
+    """One text's lattice under a model. edges: (i, j, value, characters inside, count so far)."""
+
+    def __init__(self, n_atoms: int, between: list[str], quoted: list[bool], edges, model: Model, short: int):
+        self.n, self.between, self.short = n_atoms, between, short
+        n, letter = n_atoms, -math.log(LETTERS)
+        self.end = [0.0] * (n + 1)  # of a value that ends at j: its separator separates
+        self.place = [0.0] * (n + 1)  # of a value that goes on over place i
+        self.open = [False] * (n + 1)  # whether a value may go on over place i
+        for i in range(1, n):
+            if len(between[i - 1]) == 1:
+                c = between[i - 1]
+                self.end[i] = model.split[c]
+                self.open[i] = not quoted[i - 1] and not quoted[i]
+                self.place[i] = letter + model.join[c]
+        self.atoms = [""] * n
+        edges = list(edges)
+        for i, j, value, _, _ in edges:
+            if j == i + 1:
+                self.atoms[i] = value
+        self.sum = [0.0]  # of atoms and places up to j, without place j
+        for j in range(1, n + 1):
+            self.sum.append(self.sum[-1] + (self.place[j - 1] if j > 1 else 0.0) + letter * len(self.atoms[j - 1]))
+        self.fresh = math.log(NEW) + letter
+        self.into: list[list[tuple[int, float, str, str]]] = [[] for _ in range(n + 1)]
         for i, j, value, inner, count in edges:
-            score = math.log((1 - NEW) * count / max(total, 1e-9) + NEW * math.exp(max(-600.0, _base(value, inner))) + 1e-290)
-            for c in inner:
-                score += math.log(max(1e-9, 1 - splits[c]))
-            if j < n_atoms and len(between[j - 1]) == 1:
-                score += math.log(max(1e-9, splits[between[j - 1]]))
-            self.into[j].append((i, score, value, inner))
-
-    def expected(self) -> Iterator[tuple[str, float, int, int]]:
-        """(value, posterior, i, j) of every edge."""
-        low = -math.inf
-        forward, backward = [0.0] + [low] * self.n, [low] * self.n + [0.0]
-        for j in range(1, self.n + 1):
+            score = model.known(count) + sum(model.join[c] for c in inner)
+            if j - i <= short:  # a longer new value is part of the pass over all starts
+                score = _log_sum(score, self.new(i, j))
+            if score > LOW:
+                self.into[j].append((i, score + self.end[j], value, inner))
+        run, self.long = 1, False
+        for i in range(1, n):
+            run = run + 1 if self.open[i] else 1
+            self.long |= run > short
+
+    def new(self, i: int, j: int) -> float:
+        """Log score of atoms i to j as a value not met before."""
+        return self.fresh + self.sum[j] - self.sum[i] - (self.place[i] if i else 0.0)
+
+    def _start(self, i: int) -> float:
+        return -self.sum[i] - (self.place[i] if i else 0.0)
+
+    def expected(self) -> Iterator[tuple[float, int, int, str, str]]:
+        """(posterior, i, j, value, inner) of every edge, and of every longer join from ``LEAST`` on."""
+        n, short = self.n, self.short
+        forward, backward, over = [0.0] + [LOW] * n, [LOW] * n + [0.0], [LOW] * (n + 1)
+        reach, first = LOW, 0
+        firsts = [0] * (n + 1)
+        for j in range(1, n + 1):
             for i, score, _, _ in self.into[j]:
-                forward[j] = _log_sum(forward[j], forward[i] + score) if forward[j] > low else forward[i] + score
-        for j in range(self.n, 0, -1):
-            for i, score, _, _ in self.into[j]:
-                x = backward[j] + score
-                backward[i] = _log_sum(backward[i], x) if backward[i] > low else x
-        for j in range(1, self.n + 1):
-            for i, score, value, _ in self.into[j]:
-                yield value, math.exp(min(0.0, forward[i] + score + backward[j] - forward[self.n])), i, j
-
-    def best(self, quoted_rule: bool) -> list[str]:
+                forward[j] = _log_sum(forward[j], forward[i] + score)
+            if self.long:
+                if j > 1 and not self.open[j - 1]:
+                    reach, first = LOW, j - 1
+                firsts[j] = first
+                if j - short - 1 >= first:
+                    reach = _log_sum(reach, forward[j - short - 1] + self._start(j - short - 1))
+                over[j] = reach + self.fresh + self.sum[j] + self.end[j]
+                forward[j] = _log_sum(forward[j], over[j])
+        reach, last = LOW, n
+        for i in range(n - 1, -1, -1):
+            if self.long:
+                if i < n - 1 and not self.open[i + 1]:
+                    reach, last = LOW, i + 1
+                if i + short + 1 <= last:
+                    reach = _log_sum(reach, self.fresh + self.sum[i + short + 1] + self.end[i + short + 1] + backward[i + short + 1])
+                backward[i] = _log_sum(backward[i], reach + self._start(i))
+            # edges that start at i lie in into[j] of later j, whose backward is complete
+            for j, score in self._from(i):
+                backward[i] = _log_sum(backward[i], backward[j] + score)
+        whole = forward[n]
+        for j in range(1, n + 1):
+            for i, score, value, inner in self.into[j]:
+                yield math.exp(min(0.0, forward[i] + score + backward[j] - whole)), i, j, value, inner
+            if self.long and over[j] + backward[j] - whole > math.log(LEAST):
+                for i in range(firsts[j], j - short):
+                    p = math.exp(min(0.0, forward[i] + self.new(i, j) + self.end[j] + backward[j] - whole))
+                    if p >= LEAST:
+                        yield p, i, j, self.value(i, j), "".join(self.between[i : j - 1])
+
+    def _from(self, i: int) -> list[tuple[int, float]]:
+        if not hasattr(self, "_out"):
+            self._out: list[list[tuple[int, float]]] = [[] for _ in range(self.n + 1)]
+            for j, edges in enumerate(self.into):
+                for k, score, _, _ in edges:
+                    self._out[k].append((j, score))
+        return self._out[i]
+
+    def value(self, i: int, j: int) -> str:
+        return self.atoms[i] + "".join(self.between[k - 1] + self.atoms[k] for k in range(i + 1, j))
+
+    def best(self) -> list[str]:
         """Viterbi path."""
-        top: list[tuple[float, int, str]] = [(0.0, -1, "")] + [(-math.inf, -1, "")] * self.n
+        top = [0.0] + [LOW] * self.n
+        back = [(-1, "")] * (self.n + 1)
+        reach, at, first = LOW, 0, 0
         for j in range(1, self.n + 1):
-            for i, score, value, inner in self.into[j]:
-                if quoted_rule and any(self.splits[c] >= 0.5 for c in inner):
-                    continue
-                if top[i][0] + score > top[j][0]:
-                    top[j] = (top[i][0] + score, i, value)
+            for i, score, value, _ in self.into[j]:
+                if top[i] + score > top[j]:
+                    top[j], back[j] = top[i] + score, (i, value)
+            if self.long:
+                if j > 1 and not self.open[j - 1]:
+                    reach, first = LOW, j - 1
+                i = j - self.short - 1
+                if i >= first and top[i] + self._start(i) > reach:
+                    reach, at = top[i] + self._start(i), i
+                score = reach + self.fresh + self.sum[j] + self.end[j]
+                if score > top[j]:
+                    top[j], back[j] = score, (at, self.value(at, j))
         out, j = [], self.n
         while j > 0:
-            out.append(top[j][2])
-            j = top[j][1]
+            i, value = back[j]
+            out.append(value)
+            j = i
         return out[::-1]
 
 
-_SPANS = "tid long, field string, n double, k int, seps array<string>, i int, j int, value string, joined string, certain boolean"
+_SPANS = "tid long, field string, k int, seps array<string>, quoted array<boolean>, i int, j int, value string, joined string, certain boolean"
 
 
-def _spans_of(max_join: int):
+def _spans_of(short: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for tid, field, n, text in zip(pdf.tid, pdf.field, pdf.n, pdf.text):
+            for tid, field, text in zip(pdf.tid, pdf.field, pdf.text):
                 found, between = atoms(text)
-                if not found:
-                    continue
-                single = len(found) == 1
-                for i, j, value, inner in spans(found, between, max_join):
-                    sure = (single or found[i][1]) and j == i + 1
-                    rows.append((tid, field, float(n), len(found), between if i == 0 and j == 1 else [], i, j, value, inner, sure))
-            yield pd.DataFrame(rows, columns=["tid", "field", "n", "k", "seps", "i", "j", "value", "joined", "certain"])
+                for i, j, value, inner in spans(found, between, short):
+                    head = i == 0 and j == 1  # what belongs to the text as a whole stands at its first atom
+                    sure = (len(found) == 1 or found[i][1]) and j == i + 1
+                    rows.append((tid, field, len(found), between if head else [], [q for _, q in found] if head else [], i, j, value, inner, sure))
+            yield pd.DataFrame(rows, columns=["tid", "field", "k", "seps", "quoted", "i", "j", "value", "joined", "certain"])
 
     return run
 
 
-def split_packed(
-    df: DataFrame, key: str, fields: list[str], *, rounds: int = 2, max_join: int = MAX_JOIN, quoted_rule: bool = True
-) -> DataFrame:
+def split_packed(df: DataFrame, key: str, fields: list[str], *, rounds: int = 3, short: int = SHORT) -> DataFrame:
     """(key, field, pos, item) of every text in ``fields`` that holds two or more values.
 
     Nulls, empty texts, texts of separators only and texts of one value give no row. Rows that repeat a
     key with the same texts count once; repeats of a value inside a text are kept; extra columns of any
     name are ignored; rows with a null key are left out, as no result could name them. An empty table
-    gives an empty result. A text of any length is split whole.
+    gives an empty result. A text of any length is split whole. ``short`` changes speed, not the result.
     """
     source = df.select(F.col(key).alias("rid"), *[F.col(f).alias(f"f{n}") for n, f in enumerate(fields)]).where(F.col("rid").isNotNull())
     cells = source.select(
         "rid", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"f{n}").alias("text")) for n, f in enumerate(fields)])).alias("c")
     ).select("rid", "c.field", "c.text").where(F.col("text").isNotNull() & (F.trim("text") != ""))
-    texts = cut(cells.groupBy("field", "text").agg(F.count("*").alias("n")).withColumn("tid", F.monotonically_increasing_id()))
-
-    edges = texts.mapInPandas(_spans_of(max_join), _SPANS)
-    edges = cut(edges)
-    counts = edges.where("certain").groupBy("field", "value").agg(F.sum("n").alias("c"))
-    splits = {f: dict(CANDIDATES) for f in fields}
+    texts = cut(cells.select("field", "text").distinct().withColumn("tid", F.monotonically_increasing_id()))
+
+    edges = cut(texts.mapInPandas(_spans_of(short), _SPANS))
+    counts = edges.where("certain").groupBy("field", "value").agg(F.count("*").cast("double").alias("c"))
+    separates, unquoted = ({f: {c: prior[k] for c, prior in CANDIDATES.items()} for f in fields} for k in (0, 1))
+    inside = F.explode(F.array(*[F.when(F.col("value").contains(c), F.lit(c)) for c in CANDIDATES]))
+    quoted = edges.where("certain").select("field", inside.alias("c")).where("c is not null").groupBy("field", "c").agg(F.count("*").alias("n"))
+    in_quotes = {(r.field, r.c): r.n for r in quoted.collect()}  # fields x candidates
     lattices = edges.where("k > 1").drop("certain")
+    longer = None
 
     def scored(counts: DataFrame) -> DataFrame:
-        return (
-            lattices.join(counts, ["field", "value"], "left")
-            .groupBy("tid")
-            .agg(
-                F.first("field").alias("field"),
-                F.first("n").alias("n"),
-                F.first("k").alias("k"),
-                F.flatten(F.collect_list("seps")).alias("seps"),
-                F.collect_list(F.struct("i", "j", "value", "joined", F.coalesce("c", F.lit(0.0)).alias("c"))).alias("edges"),
-            )
-        )
+        found = lattices.join(counts, ["field", "value"], "left").groupBy("tid").agg(
+            F.first("field").alias("field"),
+            F.first("k").alias("k"),
+            F.flatten(F.collect_list("seps")).alias("seps"),
+            F.flatten(F.collect_list("quoted")).alias("quoted"),
+            F.collect_list(F.struct("i", "j", "value", "joined", F.coalesce("c", F.lit(0.0)).alias("c"))).alias("edges"),
+        )
+        if longer is None:
+            return found.withColumn("longer", F.lit(None).cast("array<struct<i:int,j:int,value:string,joined:string,c:double>>"))
+        more = longer.join(counts, ["field", "value"], "left").groupBy("tid").agg(F.collect_list(F.struct("i", "j", "value", "joined", F.coalesce("c", F.lit(0.0)).alias("c"))).alias("longer"))
+        return found.join(more, "tid", "left")
 
-    for _ in range(rounds):
+    def models(counts: DataFrame) -> dict[str, Model]:
         total = {r.field: r.t for r in counts.groupBy("field").agg(F.sum("c").alias("t")).collect()}  # a row per field
-        rows = cut(scored(counts).mapInPandas(_expect(total, splits), "kind string, field string, value string, c double"))
-        for r in rows.where("kind <> 'value'").groupBy("kind", "field", "value").agg(F.sum("c").alias("c")).collect():  # fields x separators
-            splits[r.field].setdefault((r.kind, r.value), r.c)
+        return {f: Model(total.get(f, 0.0), separates[f], unquoted[f]) for f in fields}
+
+    for _ in range(rounds):
+        rows = cut(scored(counts).mapInPandas(_expect(models(counts), short), "kind string, field string, value string, c double, tid long, i int, j int, joined string"))
+        sums: dict[tuple, float] = {}
+        for r in rows.where("kind in ('split', 'join', 'plain')").groupBy("kind", "field", "value").agg(F.sum("c").alias("c")).collect():  # fields x candidates
+            sums[r.kind, r.field, r.value] = r.c
         for f in fields:
             for c, prior in CANDIDATES.items():
-                yes, no = splits[f].pop(("split", c), 0.0), splits[f].pop(("join", c), 0.0)
-                splits[f][c] = (yes + 2 * prior) / (yes + no + 2)
+                yes, no, plain = (sums.get((kind, f, c), 0.0) for kind in ("split", "join", "plain"))
+                separates[f][c] = (yes + PRIOR_WEIGHT * prior[0]) / (yes + no + PRIOR_WEIGHT)
+                unquoted[f][c] = (plain + PRIOR_WEIGHT * prior[1]) / (plain + in_quotes.get((f, c), 0.0) + PRIOR_WEIGHT)
+        longer = rows.where("kind = 'long'").select("tid", "field", "value", "i", "j", "joined")
         counts = (
-            edges.where("certain and k = 1").select("field", "value", F.col("n").alias("c"))
-            .unionByName(rows.where("kind = 'value'").drop("kind"))
-            .groupBy("field", "value").agg(F.sum("c").alias("c"))
+            edges.where("certain and k = 1").select("field", "value", F.lit(1.0).alias("c"), F.lit(0.0).alias("w"))
+            .unionByName(rows.where("kind in ('value', 'wide')").select("field", "value", F.when(F.col("kind") == "value", F.col("c")).otherwise(0.0).alias("c"), F.when(F.col("kind") == "wide", F.col("c")).otherwise(0.0).alias("w")))
+            .groupBy("field", "value").agg((F.sum("c") + F.greatest(F.lit(0.0), F.sum("w") - 1)).alias("c"))
         )
-    total = {r.field: r.t for r in counts.groupBy("field").agg(F.sum("c").alias("t")).collect()}
-    chosen = scored(counts).mapInPandas(_decode(total, splits, quoted_rule), "tid long, items array<string>")
+    chosen = scored(counts).mapInPandas(_decode(models(counts), short), "tid long, items array<string>")
     by_text = texts.join(chosen, "tid").where(F.size("items") > 1).select("field", "text", "items")
-    packed = cells.where(F.col("text").rlike("[;,|+&/\\t]")).distinct()
+    packed = cells.where(F.col("text").rlike("[;,|+&/\\t]"))
     return (
         packed.join(by_text, ["field", "text"])
         .select(F.col("rid").alias(key), "field", F.posexplode("items").alias("pos", "item"))
@@ -253,36 +350,43 @@ def split_packed(
     )
 
 
-def _lattice(row, total, splits) -> Lattice:
-    edges = ((e["i"], e["j"], e["value"], e["joined"], e["c"]) for e in row.edges)
-    return Lattice(row.k, list(row.seps), edges, total.get(row.field, 0.0), splits[row.field])
+def _lattice(row, models: dict[str, Model], short: int) -> Lattice:
+    found = [*row.edges, *(row.longer if row.longer is not None else ())]
+    return Lattice(row.k, list(row.seps), list(row.quoted), ((e["i"], e["j"], e["value"], e["joined"], e["c"]) for e in found), models[row.field], short)
 
 
-def _expect(total, splits):
+def _expect(models, short: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sums: dict[tuple[str, str, str], float] = {}
+            longer: dict[tuple, tuple] = {}
             for row in pdf.itertuples(index=False):
-                lattice = _lattice(row, total, splits)
+                lattice = _lattice(row, models, short)
                 ends = [0.0] * (lattice.n + 1)
-                for value, p, _, j in lattice.expected():
+                for p, i, j, value, inner in lattice.expected():
                     ends[j] += p
-                    if p > 1e-6:
-                        where = ("value", row.field, value)
-                        sums[where] = sums.get(where, 0.0) + p * row.n
+                    if p > LEAST:
+                        where = ("wide" if inner else "value", row.field, value)
+                        sums[where] = sums.get(where, 0.0) + p
+                        for c in set(inner):
+                            where = ("plain", row.field, c)
+                            sums[where] = sums.get(where, 0.0) + p / lattice.n
+                        if j - i > short:
+                            longer[row.tid, i, j] = ("long", row.field, value, 0.0, row.tid, i, j, inner)
                 for j, between in enumerate(lattice.between, 1):
                     if len(between) == 1:
                         for kind, p in (("split", ends[j]), ("join", 1 - ends[j])):
                             where = (kind, row.field, between)
-                            sums[where] = sums.get(where, 0.0) + p * row.n
-            yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["kind", "field", "value", "c"])
+                            sums[where] = sums.get(where, 0.0) + p / lattice.n
+            rows = [(*k, v, 0, 0, 0, "") for k, v in sums.items()] + list(longer.values())
+            yield pd.DataFrame(rows, columns=["kind", "field", "value", "c", "tid", "i", "j", "joined"])
 
     return run
 
 
-def _decode(total, splits, quoted_rule):
+def _decode(models, short: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"tid": pdf.tid, "items": [_lattice(r, total, splits).best(quoted_rule) for r in pdf.itertuples(index=False)]})
+            yield pd.DataFrame({"tid": pdf.tid, "items": [_lattice(r, models, short).best() for r in pdf.itertuples(index=False)]})
 
     return run

@@ -61,3 +61,32 @@ def test_edges(spark):
     assert found[found.id == 6].shape[0] == 3000 and set(found.id) == {1, 6, 7}
     assert split_packed(df.limit(0), "id", ["f"]).count() == 0
     assert isinstance(found, pd.DataFrame)
+
+
+def test_long_joins_have_no_limit(spark):
+    """A name of four atoms over a character that never separates in the column stays whole."""
+    data = [(i, "A/B/C/D" if i % 2 else "A/B/C/D;AUX") for i in range(40)] + [(100 + i, t) for i, t in enumerate(["AUX", "AUX;RED", "RED"] * 10)]
+    found = split_packed(spark.createDataFrame(data, "id long, f string"), "id", ["f"]).toPandas()
+    assert set(found.item) == {"A/B/C/D", "AUX", "RED"} and set(found[found.id == 2].item) == {"A/B/C/D", "AUX"}
+
+
+def test_lattice_of_any_join_against_all_spans():
+    """Posteriors and best path with few edges and the pass over all starts equal those with an edge for every span."""
+    import random
+
+    from skyquarry.operators.packed import CANDIDATES, Lattice, Model, spans
+
+    rng = random.Random(3)
+    for _ in range(60):
+        n = rng.randint(2, 9)
+        found = [(rng.choice(["a", "bb", "ccc", "F1"]), rng.random() < 0.15) for _ in range(n)]
+        between = [rng.choice(["/", ";", "/", ";;"]) for _ in range(n - 1)]
+        model = Model(50.0, dict.fromkeys(CANDIDATES, 0.5) | {"/": 0.01, ";": 0.6}, dict.fromkeys(CANDIDATES, 0.9))
+        counts = {"a": 5, "a/bb": 7}
+        edges = {s: [(i, j, v, inner, counts.get(v, 0)) for i, j, v, inner in spans(found, between, s)] for s in (2, n)}
+        quoted = [q for _, q in found]
+        few, all_ = (Lattice(n, between, quoted, edges[s], model, s) for s in (2, n))
+        a = {(i, j): p for p, i, j, _, _ in few.expected()}
+        b = {(i, j): p for p, i, j, _, _ in all_.expected()}
+        assert all(abs(a.get(k, 0.0) - p) < 2e-6 for k, p in b.items())
+        assert few.best() == all_.best()
