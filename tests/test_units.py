@@ -44,3 +44,70 @@ def test_edges(spark):
     assert (got[1].lo_nm, got[1].hi_nm, got[1].own) == (4.0, 5.0, True) and got[5].unit is None and got[5].lo_nm is None
     assert got[6].lo_nm == pytest.approx(2.99792458e8 / 4e5) and not got[6].own
     assert rows(convert(df.limit(0))) == []
+
+
+#: At this wavelength a value in nm and the same value in GHz are one: only the sequence tells them apart.
+BOTH = 2.99792458e8**0.5
+
+
+def stretches(shuffled=False):
+    """A device that records in nm, then in GHz, then in nm again; every fourth record has its unit written."""
+    import random
+
+    at = list(range(400))
+    if shuffled:
+        random.Random(5).shuffle(at)
+    return [(i, "d", float(at[i]), BOTH * 0.99, BOTH / 0.99, ("GHz" if 100 <= i < 300 else "nm") if i % 4 == 0 else None) for i in range(400)]
+
+
+SCHEMA = "id long, dev string, at double, lo double, hi double, unit string"
+
+
+def units_found(spark, data):
+    return {r.id: r.unit for r in convert(spark.createDataFrame(data, SCHEMA).repartition(5)).collect()}
+
+
+def test_the_sequence_decides(spark):
+    got = units_found(spark, stretches())
+    right = sum(got[i] == ("GHz" if 100 <= i < 300 else "nm") for i in range(400))
+    assert right >= 394
+    got = units_found(spark, stretches(shuffled=True))
+    assert sum(got[i] == ("GHz" if 100 <= i < 300 else "nm") for i in range(400)) < 380
+
+
+def test_a_run_over_many_partitions(spark):
+    """One label decides a run that fills whole partitions, from either side."""
+    data = [(i, "a", float(i), BOTH * 0.99, BOTH / 0.99, "GHz" if i == 0 else None) for i in range(600)]
+    data += [(1000 + i, "b", float(i), BOTH * 0.99, BOTH / 0.99, "GHz" if i == 599 else None) for i in range(600)]
+    data += [(2000 + i, "c", float(i), BOTH * 0.99, BOTH / 0.99, "nm" if i < 300 else None) for i in range(600)]
+    got = units_found(spark, data)
+    assert {got[i] for i in range(600)} == {"GHz"} == {got[1000 + i] for i in range(600)} and {got[2000 + i] for i in range(600)} == {"nm"}
+
+
+def test_parts_equal_one_chain(spark):
+    """Partitions with carried summaries decode what one chain over all rows does."""
+    import random
+
+    rng = random.Random(9)
+    data = []
+    for dev in ("p", "q"):
+        for i in range(500):
+            unit = rng.choice(["nm", "A", "GHz"])
+            v = BOTH * rng.uniform(0.99, 1.01) * (10 if unit == "A" else 1)
+            data.append((len(data), dev, float(i), v * 0.99, v / 0.99, unit if rng.random() < 0.1 else None))
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    many = units_found(spark, data)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    one = units_found(spark, data)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert many == one
+
+
+def test_a_level_that_drifts(spark):
+    data = []
+    for i in range(600):
+        level = 10 ** (2.5 + i / 400)
+        scale = (1, 10, 1e-3)[i % 3]
+        data.append((i, "d", float(i), level * 0.99 * scale, level / 0.99 * scale, ("nm", "A", "um")[i % 3] if i % 2 else None))
+    got = units_found(spark, data)
+    assert all(got[i] == ("nm", "A", "um")[i % 3] for i in range(600))
