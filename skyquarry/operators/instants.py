@@ -1,12 +1,15 @@
 """Timestamps in mixed formats, precisions, scales and zones to one UTC instant (problem 5).
 
-Every value is read under each format that can parse it. A source (a telescope, a feed) is a mixture of
-formats; expectation-maximisation over the counts of candidate sets learns its weights, and the
-posterior chooses among the readings of a value. Readings that stay undecided are marked. A zone or
-offset in the value holds; otherwise the value is in the record's time scale or civil zone. Civil times
-that occur twice or never (daylight-saving changes) are marked too; the earlier instant is taken.
-
-All parsing stays in the JVM. What leaves it are counts per source and set of formats, a few rows a source.
+Every value is read under each format that can parse it: a number as days, seconds or milliseconds from
+each origin, a date of digits day first and month first. A source (a telescope, a feed) is a mixture of
+formats over a spread of years; expectation-maximisation over the counts of candidate sets learns both
+from all its values, and the posterior chooses among the readings of a value. Readings that stay
+undecided are marked. A zone or offset in the value holds; otherwise the value is in the record's time
+scale or civil zone. Civil times that occur twice or never (daylight-saving changes) are marked too; the
+earlier instant is taken.
+
+All parsing stays in the JVM, with one match of one pattern a value. What leaves it are counts per source and
+set of (format, year), a bounded number a source, which a grouped Arrow pass turns into weights.
 """
 
 from __future__ import annotations
@@ -26,29 +29,33 @@ SCALE_MS = {"TT": 69184, "TAI": 37000, "UTC": 0, "UT": 0, "UT1": 0}
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 DAY_MS = 86_400_000
 MJD_UNIX, JD_UNIX = 40587, 2440587.5
-#: Years in which a reading is likely, and in which it is possible at all.
-LIKELY = (1975, 2035)
+#: Years in which a reading is possible at all, how many years to each side a value speaks for, and the weight of a year without values.
 POSSIBLE = (1900, 2100)
+NEIGHBOURS, UNSEEN = 3, 0.05
 #: Most sources whose weights are broadcast; beyond, they are joined by a shuffle, with the same result.
 MOST_SOURCES = 20_000
 CERTAIN = 0.9
 
 _DATE = r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})"
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d*)?))?\s*(AM|PM|am|pm)?"
-_ZONE = r"\s*([A-Za-z_]+/[A-Za-z_/+-]+|[A-Za-z]{1,5}|[+-]\d{2}(?::?\d{2})?)?"
-#: Name, pattern, and the groups of year, month, day, day of year, hour, minute, second, half of day, zone.
+_ZONE = r"\s*([A-Za-z_]+/[A-Za-z0-9_/+-]+|[A-Za-z]{1,5}|[+-]\d{2}(?::?\d{2})?)?"
+#: Name, pattern, and the groups of year, month, day, day of year, hour, minute, second, half of day, zone. Of ``day/month`` both orders are read.
 TEXT_FORMATS = [
-    ("iso", rf"^{_DATE}[T ]{_TIME}{_ZONE}$", dict(y=1, m=2, d=3, h=4, mi=5, s=6, ap=7, z=8)),
-    ("compact", rf"^(\d{{4}})(\d{{2}})(\d{{2}})T?(\d{{2}})(\d{{2}})(\d{{2}}(?:\.\d+)?){_ZONE}$", dict(y=1, m=2, d=3, h=4, mi=5, s=6, z=7)),
-    ("ordinal", rf"^(\d{{4}})[-:](\d{{3}})[T: ]{_TIME}{_ZONE}$", dict(y=1, doy=2, h=3, mi=4, s=5, ap=6, z=7)),
-    ("month first", rf"^([A-Za-z]{{3,9}})\.? (\d{{1,2}}),? (\d{{4}}) {_TIME}{_ZONE}$", dict(y=3, mon=1, d=2, h=4, mi=5, s=6, ap=7, z=8)),
-    ("day first", rf"^(?:[A-Za-z]{{3,9}}, )?(\d{{1,2}})[- ]([A-Za-z]{{3,9}})[- ](\d{{4}}) {_TIME}{_ZONE}$", dict(y=3, mon=2, d=1, h=4, mi=5, s=6, ap=7, z=8)),
-    ("date", rf"^{_DATE}$", dict(y=1, m=2, d=3)),
-    ("date fraction", rf"^{_DATE}(\.\d+)$", dict(y=1, m=2, d=3, f=4)),
-    ("old date", r"^(\d{2})/(\d{2})/(\d{2})$", dict(yy=3, m=2, d=1)),
+    ("iso", rf"{_DATE}[T ]{_TIME}{_ZONE}", dict(y=1, m=2, d=3, h=4, mi=5, s=6, ap=7, z=8)),
+    ("compact", rf"(\d{{4}})(\d{{2}})(\d{{2}})T?(\d{{2}})(\d{{2}})(\d{{2}}(?:\.\d+)?){_ZONE}", dict(y=1, m=2, d=3, h=4, mi=5, s=6, z=7)),
+    ("ordinal", rf"(\d{{4}})[-:](\d{{3}})[T: ]{_TIME}{_ZONE}", dict(y=1, doy=2, h=3, mi=4, s=5, ap=6, z=7)),
+    ("month name first", rf"([A-Za-z]{{3,9}})\.? (\d{{1,2}}),? (\d{{4}}) {_TIME}{_ZONE}", dict(y=3, mon=1, d=2, h=4, mi=5, s=6, ap=7, z=8)),
+    ("month name", rf"(?:[A-Za-z]{{3,9}}, )?(\d{{1,2}})[- ]([A-Za-z]{{3,9}})[- ](\d{{4}}) {_TIME}{_ZONE}", dict(y=3, mon=2, d=1, h=4, mi=5, s=6, ap=7, z=8)),
+    ("day/month", rf"(\d{{1,2}})[./-](\d{{1,2}})[./-](\d{{4}})[T ]{_TIME}{_ZONE}", dict(y=3, m=2, d=1, h=4, mi=5, s=6, ap=7, z=8)),
+    ("date", rf"{_DATE}", dict(y=1, m=2, d=3)),
+    ("date fraction", rf"{_DATE}(\.\d+)", dict(y=1, m=2, d=3, f=4)),
+    ("day/month date", r"(\d{1,2})[./-](\d{1,2})[./-](\d{4})", dict(y=3, m=2, d=1)),
+    ("old date", r"(\d{2})/(\d{2})/(\d{2})", dict(yy=3, m=2, d=1)),
 ]
+SWAPPED = {"day/month": "month/day", "day/month date": "month/day date"}
 _CLOCK = r"^(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d*)?))?$"
 _NUMBER = r"^(?i:(MJD|JD)\s*)?([+-]?\d+)(?:[.,](\d*))?$"
+_CUT = "\u0001"
 
 
 def _year_ms(year: int) -> int:
@@ -63,52 +70,73 @@ def _clock(hour: Column, mi: Column, s: Column, half: Column) -> Column:
     return F.when((mi.try_cast("int") < 60) & (second < 61), hours.cast("long") * 3_600_000 + mi.try_cast("long") * 60_000 + F.round(second * 1000).cast("long"))
 
 
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """Groups of a match as an array from 1, '' for those without part in it, from one run of the pattern; null without a match."""
+    found = F.split(F.regexp_replace(text, pattern, _CUT + _CUT.join(f"${i}" for i in range(1, n + 1))), _CUT)
+    return F.when(F.size(found) == n + 1, found)
+
+
 def _read_text(rows: DataFrame) -> DataFrame:
-    """With ``words``: struct(fmt, local ms, zone text) of the text format that fits, or null.
+    """With ``words``, an array of struct(fmt, local ms, zone text): the readings of the text format that fits.
 
-    Format, fields and instant are computed in steps, each as columns of the one before.
+    All formats are alternatives of one pattern, so one field's groups are all empty but one. Groups,
+    fields and instant are computed in steps, each as columns of the one before.
     """
-    text = F.col("text")
-    fmt = F.coalesce(*[F.when(text.rlike(pattern), F.lit(name)) for name, pattern, _ in TEXT_FORMATS])
-    rows = rows.withColumn("fmt", fmt)
+    first, at = {}, 0
+    for name, pattern, fields in TEXT_FORMATS:
+        first[name] = at
+        at += max(fields.values())
+    whole = "^(?:" + "|".join(pattern for _, pattern, _ in TEXT_FORMATS) + ")$"
+    # most junk and all numbers are refused without the pattern
+    dated = F.col("text").rlike(r"^[^.,]*\d[-/:. ]|^\d{8}|^[A-Za-z]{3}")
+    rows = rows.withColumn("g", F.when(dated & ~F.col("text").contains(_CUT), _groups(F.col("text"), whole, at)))
 
     def field(k: str) -> Column:
-        return F.coalesce(*[F.when(F.col("fmt") == name, F.regexp_extract(text, pattern, at[k])) for name, pattern, at in TEXT_FORMATS if k in at])
-
-    bare = F.col("fmt").isin(*[name for name, _, at in TEXT_FORMATS if "h" not in at and "f" not in at])
-    clock = [F.when(bare, F.regexp_extract(F.trim("clock"), _CLOCK, i)) for i in (1, 2, 3)]
+        return F.concat(*[F.get("g", F.lit(first[name] + fields[k])) for name, _, fields in TEXT_FORMATS if k in fields])
+
+    some = lambda c: F.nullif(c, F.lit(""))
+    year_at = lambda name, fields: F.get("g", F.lit(first[name] + fields.get("y", fields.get("yy"))))
+    fmt = F.coalesce(*[F.when(year_at(name, fields) != "", F.lit(name)) for name, _, fields in TEXT_FORMATS])
+    bare = [name for name, _, fields in TEXT_FORMATS if "h" not in fields and "f" not in fields]
+    rows = rows.withColumns({"fmt": fmt, "yy": field("yy"), "mon": F.lower(F.substring(field("mon"), 1, 3)), "m": field("m"), "dd": field("d"), "doy": some(field("doy")).try_cast("int")})
+    rows = rows.withColumn("c", F.when(F.col("fmt").isin(bare), _groups(F.trim("clock"), _CLOCK, 3)))
     months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, f"{i:02d}")])
     rows = rows.withColumns(
         {
-            "y": F.coalesce(field("y"), F.concat(F.lit("19"), field("yy"))),
-            "mo": F.coalesce(F.try_element_at(months, F.lower(F.substring(field("mon"), 1, 3))), F.lpad(field("m"), 2, "0")),
-            "d": F.lpad(field("d"), 2, "0"),
-            "doy": field("doy").try_cast("int"),
-            "h": F.coalesce(field("h"), clock[0]),
-            "mi": F.coalesce(field("mi"), clock[1]),
-            "s": F.coalesce(field("s"), clock[2]),
+            "y": F.coalesce(some(field("y")), F.concat(F.lit("19"), some(F.col("yy")))),
+            "mo": F.coalesce(F.try_element_at(months, F.col("mon")), F.lpad(some(F.col("m")), 2, "0")),
+            "d": F.lpad(F.col("dd"), 2, "0"),
+            "h": F.coalesce(some(field("h")), F.get("c", F.lit(1))),
+            "mi": F.coalesce(some(field("mi")), F.get("c", F.lit(2))),
+            "s": F.coalesce(some(field("s")), F.get("c", F.lit(3)), F.lit("")),
             "ap": F.coalesce(field("ap"), F.lit("")),
-            "f": F.concat(F.lit("0"), field("f")).try_cast("decimal(20,15)"),
+            "f": F.concat(F.lit("0"), some(field("f"))).try_cast("decimal(20,15)"),
             "z": F.coalesce(field("z"), F.lit("")),
         }
     )
-    first = F.concat("y", F.lit("-01-01")).try_cast("date")
-    plain = F.concat("y", F.lit("-"), "mo", F.lit("-"), "d").try_cast("date")
-    rows = rows.withColumns({"day": F.coalesce(plain, F.when(F.col("doy") > 0, F.date_add(first, F.col("doy") - 1))), "hour": F.col("h").try_cast("int")})
+    january = F.concat("y", F.lit("-01-01")).try_cast("date")
+    day = lambda m, d: F.concat("y", F.lit("-"), m, F.lit("-"), d).try_cast("date")
+    swapped = F.when(F.col("fmt").isin(*SWAPPED), day(F.col("d"), F.col("mo")))
+    ordinal = F.when(F.col("doy") > 0, F.date_add(january, F.col("doy") - 1))
+    rows = rows.withColumns({"day": F.when(F.col("doy").isNull(), day(F.col("mo"), F.col("d"))).otherwise(ordinal), "other": swapped, "hour": F.col("h").try_cast("int")})
     good_day = F.col("doy").isNull() | (F.year("day") == F.col("y").try_cast("int"))
     of_day = F.coalesce(_clock(F.col("hour"), F.col("mi"), F.col("s"), F.col("ap")), F.round(F.col("f") * DAY_MS).cast("long"))
-    rows = rows.withColumn("ms", F.when(good_day, F.unix_date("day").cast("long") * DAY_MS + of_day))
-    words = F.when(F.col("ms").isNotNull(), F.struct("fmt", "ms", F.col("z").alias("zone")))
-    return rows.withColumn("words", words).drop("fmt", "y", "mo", "d", "doy", "h", "hour", "mi", "s", "ap", "f", "z", "day", "ms")
+    rows = rows.withColumn("of_day", of_day).withColumns({"ms": F.when(good_day, F.unix_date("day").cast("long") * DAY_MS + F.col("of_day")), "ms2": F.unix_date("other").cast("long") * DAY_MS + F.col("of_day")})
+    second = F.create_map(*[F.lit(x) for pair in SWAPPED.items() for x in pair])
+    words = F.array(
+        F.when(F.col("ms").isNotNull(), F.struct("fmt", "ms", F.col("z").alias("zone"))),
+        F.when(F.col("ms2").isNotNull(), F.struct(F.try_element_at(second, F.col("fmt")).alias("fmt"), F.col("ms2").alias("ms"), F.col("z").alias("zone"))),
+    )
+    return rows.withColumn("words", words)
 
 
 def _read_numbers(rows: DataFrame, mode: str) -> tuple[DataFrame, list[Column]]:
     """Readings of numbers. header: epoch + value in its unit, MJD or JD. feed: MJD, JD, Unix s or ms."""
     text = F.col("text")
-    whole, part = F.regexp_extract(text, _NUMBER, 2), F.regexp_extract(text, _NUMBER, 3)
+    rows = rows.withColumn("nb", _groups(text, _NUMBER, 3))
+    prefix, whole, part = (F.get("nb", F.lit(i)) for i in (1, 2, 3))
     value = F.concat(whole, F.lit("."), F.when(part == "", F.lit("0")).otherwise(F.substring(part, 1, 16))).try_cast("decimal(32,16)")
-    is_number = text.rlike(_NUMBER)
-    rows = rows.withColumns({"value": F.when(is_number, value), "prefix": F.when(is_number, F.upper(F.regexp_extract(text, _NUMBER, 1))), "integral": ~text.rlike("[.,]")})
+    rows = rows.withColumns({"value": value, "prefix": F.upper(prefix), "integral": ~text.contains(".") & ~text.contains(",")})
     value, prefix, unit, epoch = (F.col(c) for c in ("value", "prefix", "unit", "epoch"))
 
     def days(origin: float) -> Column:
@@ -148,56 +176,52 @@ def zone_letters(zones: Iterable[str]) -> dict[str, int]:
     return out
 
 
-def _em(counts: list[dict], rounds: int = 20) -> dict[str, float]:
-    """Weights of the formats of one source from its rows (sig: candidates (fmt, lik), n)."""
+def _em(counts: list[dict], rounds: int = 20) -> tuple[dict[str, float], dict[int, float]]:
+    """Weights of the formats and of the years of one source from its rows (sig: candidates (fmt, year), n)."""
     weights = {c["fmt"]: 1.0 for r in counts for c in r["sig"]}
+    years = {c["year"]: 1.0 for r in counts for c in r["sig"]}
     for _ in range(rounds):
-        sums = dict.fromkeys(weights, 0.01)
+        formats, seen = dict.fromkeys(weights, 0.01), dict.fromkeys(years, 0.0)
         for r in counts:
-            total = sum(weights[c["fmt"]] * c["lik"] for c in r["sig"])
-            for c in r["sig"]:
-                sums[c["fmt"]] += r["n"] * weights[c["fmt"]] * c["lik"] / total
-        weights = {f: v / sum(weights.values()) for f, v in sums.items()}
-    return weights
+            parts = [weights[c["fmt"]] * years[c["year"]] for c in r["sig"]]
+            total = sum(parts) or 1.0
+            for c, p in zip(r["sig"], parts):
+                formats[c["fmt"]] += r["n"] * p / total
+                seen[c["year"]] += r["n"] * p / total
+        n, m = sum(formats.values()), sum(seen.values())
+        weights = {f: v / n for f, v in formats.items()}
+        near = {y: sum(seen.get(y + k, 0.0) / (1 + abs(k)) for k in range(-NEIGHBOURS, NEIGHBOURS + 1)) for y in seen}
+        years = {y: (v + UNSEEN) / (m + UNSEEN) for y, v in near.items()}
+    return weights, years
 
 
 def _weights(counts: pa.Table) -> pa.Table:
-    """(source, w) of one source's counts."""
-    w = pa.array([list(_em(counts.to_pylist()).items())], pa.map_(pa.string(), pa.float64()))
-    return pa.table({"source": counts["source"].slice(0, 1), "w": w})
+    """(source, w, q) of one source's counts."""
+    w, q = _em(counts.to_pylist())
+    return pa.table({"source": counts["source"].slice(0, 1), "w": pa.array([list(w.items())], pa.map_(pa.string(), pa.float64())), "q": pa.array([list(q.items())], pa.map_(pa.int32(), pa.float64()))})
 
 
-def to_utc(
+def candidates(
     df: DataFrame,
     key: str,
     value: Column,
     source: Column,
     *,
+    field: str = "",
     clock: Column | None = None,
     zone: Column | None = None,
-    zones: Iterable[str] = (),
     scale: Column | None = None,
     numbers: str | None = None,
     unit: Column | None = None,
     epoch: Column | None = None,
 ) -> DataFrame:
-    """(key, utc_ms, fmt, posterior, ambiguous) of every value that names an instant.
-
-    ``clock`` is a time of day that completes a date without one, ``zone`` the civil zone of the record
-    (one of ``zones``, whose letters such as EDT are known), ``scale`` UTC, TT, TAI or LOCAL (null is
-    UTC), ``numbers`` how bare numbers read (``header``, ``feed`` or None: as junk), ``unit`` and
-    ``epoch`` the unit and MJD origin of header numbers.
-
-    Null, empty and junk values, impossible dates, dates without a time of day, unknown zones and local
-    times without a zone give no row. ``ambiguous`` is true if the posterior of the reading is below
-    0.9 or the civil time occurs twice or never. A repeated key counts once, null keys are left out,
-    extra columns are ignored, an empty table gives an empty result, texts of any length are read whole.
-    """
+    """(field, rid, source, civil, scale, cands): every value with its possible readings; see :func:`to_utc`."""
     nothing = F.lit(None).cast("string")
     rows = df.where(F.col(key).isNotNull()).select(
+        F.lit(field).alias("field"),
         F.col(key).alias("rid"),
         F.regexp_replace(value, "^\\s+|\\s+$", "").alias("text"),
-        F.coalesce(source, F.lit("")).alias("source"),
+        F.concat(F.lit(field + "|"), F.coalesce(source, F.lit(""))).alias("source"),
         (clock if clock is not None else nothing).alias("clock"),
         (zone if zone is not None else nothing).alias("civil"),
         F.upper(F.coalesce(scale if scale is not None else nothing, F.lit("UTC"))).alias("scale"),
@@ -205,27 +229,33 @@ def to_utc(
         (epoch if epoch is not None else F.lit(None)).cast("double").alias("epoch"),
     )
     rows = rows.where("text is not null and text <> ''").dropDuplicates(["rid"])
-
     rows = _read_text(rows)
-    options = [F.col("words")]
+    options = F.col("words")
     if numbers:
         # in a feed a whole number counts seconds or milliseconds, it is no compact date
         rows, more = _read_numbers(rows, numbers)
-        options = [F.when(F.col("prefix").isNull(), F.col("words")), *more]
-    possible = F.array_compact(F.array(*options))
-    possible = F.filter(possible, lambda c: c["ms"].between(_year_ms(POSSIBLE[0]), _year_ms(POSSIBLE[1])))
-    # kept, so that no later filter is pushed below the parsing and makes it run again
-    read = cut(rows.withColumn("cands", possible).select("rid", "source", "civil", "scale", "cands")).where(F.size("cands") > 0)
-    likely = lambda c: F.when(c["ms"].between(_year_ms(LIKELY[0]), _year_ms(LIKELY[1])), 1.0).otherwise(1e-3)
-    read = read.withColumn("sig", F.transform("cands", lambda c: F.struct(c["fmt"].alias("fmt"), likely(c).alias("lik"))))
+        options = F.concat(F.when(F.col("prefix").isNull(), options).otherwise(F.slice(options, 1, 0)), F.array(*more))
+    possible = F.filter(F.array_compact(options), lambda c: c["ms"].between(_year_ms(POSSIBLE[0]), _year_ms(POSSIBLE[1])))
+    return rows.select("field", "rid", "source", "civil", "scale", possible.alias("cands"))
 
+
+def resolve(read: DataFrame, zones: Iterable[str] = ()) -> DataFrame:
+    """(field, rid, utc_ms, fmt, posterior, ambiguous) of values with candidates; several fields may be joined to one table."""
+    # kept, so that no later filter is pushed below the parsing and makes it run again
+    read = cut(read).where(F.size("cands") > 0)
+    year = lambda c: (F.floor(c["ms"] / (365.2425 * DAY_MS)) + 1970).cast("int")
+    read = read.withColumn("sig", F.transform("cands", lambda c: F.struct(c["fmt"].alias("fmt"), year(c).alias("year"))))
     counts = read.groupBy("source", "sig").agg(F.count("*").alias("n"))
-    # a source has a bounded set of format sets, so its counts fit in a batch
-    weights = cut(counts.groupBy("source").applyInArrow(_weights, "source string, w map<string,double>"))
+    # a source has a bounded set of formats and years, so its counts fit in a batch
+    weights = cut(counts.groupBy("source").applyInArrow(_weights, "source string, w map<string,double>, q map<int,double>"))
     read = read.join(small(weights, MOST_SOURCES), "source")
-    scored = F.transform("cands", lambda c, i: F.struct((F.try_element_at("w", c["fmt"]) * F.col("sig")[i]["lik"]).alias("p"), (-i).alias("i"), c["fmt"].alias("fmt"), c["ms"].alias("ms"), c["zone"].alias("zone")))
+    score = lambda c, i: F.try_element_at("w", c["fmt"]) * F.try_element_at("q", F.col("sig")[i]["year"])
+    scored = F.transform("cands", lambda c, i: F.struct(score(c, i).alias("p"), (-i).alias("i"), c["fmt"].alias("fmt"), c["ms"].alias("ms"), c["zone"].alias("zone")))
     read = read.withColumn("scored", scored)
-    read = read.select("rid", "civil", "scale", F.array_max("scored").alias("best"), F.aggregate("scored", F.lit(0.0), lambda a, c: a + c["p"]).alias("total"))
+    read = read.select("field", "rid", "civil", "scale", F.array_max("scored").alias("best"), "scored")
+    # readings that agree on the instant count together
+    mass = lambda keep: F.aggregate(F.filter("scored", keep), F.lit(0.0), lambda a, c: a + c["p"])
+    read = read.select("field", "rid", "civil", "scale", "best", mass(lambda c: c["ms"] == F.col("best.ms")).alias("mass"), mass(lambda c: F.lit(True)).alias("total"))
 
     ms, written = F.col("best.ms"), F.col("best.zone")
     offset = F.when(written.rlike(r"^[+-]\d{2}(:?\d{2})?$"), F.when(F.substring(written, 1, 1) == "-", -1).otherwise(1) * (F.substring(written, 2, 2).try_cast("int") * 60 + F.coalesce(F.regexp_extract(written, r":?(\d{2})$", 1).try_cast("int"), F.lit(0)) * F.when(F.length(written) > 3, 1).otherwise(0)))
@@ -243,5 +273,22 @@ def to_utc(
     back = F.from_utc_timestamp(utc, F.col("region"))
     again = F.from_utc_timestamp(utc + F.expr("interval 1 hour"), F.col("region"))
     fold = F.col("region").isNotNull() & ((back != at) | (again == at))
-    posterior = F.col("best.p") / F.col("total")
-    return read.select(F.col("rid").alias(key), result.alias("utc_ms"), F.col("best.fmt").alias("fmt"), posterior.alias("posterior"), ((posterior < CERTAIN) | F.coalesce(fold, F.lit(False))).alias("ambiguous")).where("utc_ms is not null")
+    posterior = F.col("mass") / F.col("total")
+    return read.select("field", "rid", result.alias("utc_ms"), F.col("best.fmt").alias("fmt"), posterior.alias("posterior"), ((posterior < CERTAIN) | F.coalesce(fold, F.lit(False))).alias("ambiguous")).where("utc_ms is not null")
+
+
+def to_utc(df: DataFrame, key: str, value: Column, source: Column, *, zones: Iterable[str] = (), **how) -> DataFrame:
+    """(key, utc_ms, fmt, posterior, ambiguous) of every value that names an instant.
+
+    ``clock`` is a time of day that completes a date without one, ``zone`` the civil zone of the record
+    (one of ``zones``, whose letters such as EDT are known), ``scale`` UTC, TT, TAI or LOCAL (null is
+    UTC), ``numbers`` how bare numbers read (``header``, ``feed`` or None: as junk), ``unit`` and
+    ``epoch`` the unit and MJD origin of header numbers.
+
+    Null, empty and junk values, impossible dates, dates without a time of day, unknown zones and local
+    times without a zone give no row. ``ambiguous`` is true if the posterior of the reading is below
+    0.9 or the civil time occurs twice or never; of equally likely readings the first (day before month) is
+    taken. A repeated key counts once, null keys are left out, extra columns are ignored, an empty table
+    gives an empty result, texts of any length are read whole.
+    """
+    return resolve(candidates(df, key, value, source, **how), zones).drop("field").withColumnRenamed("rid", key)

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from skyquarry.functions import keys
 from skyquarry.operators.impute import fill_missing
-from skyquarry.operators.instants import to_utc
+from skyquarry.operators.instants import candidates, resolve
 from skyquarry.operators.intervals import periods_and_gaps
 from skyquarry.operators.nearby import near_pairs, points_in_regions
 from skyquarry.operators.packed import split_packed
 from skyquarry.operators.units import to_common_unit
-from skyquarry.session import cut, table, usable
+from skyquarry.session import cut, small, table, usable
 
 #: All true times of the archive lie between these MJD.
 FIRST_MJD, LAST_MJD = 43000.0, 62500.0
@@ -56,13 +56,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tab, filter_name, proper, pivot_nm) of both filter tables; their sequence follows the filters' numbers."""
+    """(tab, filter_name, proper, pivot_nm) of both filter tables.
+
+    A table is a sequence along the numbers in its filters' names, over which the pivot rises steadily: the
+    level is the number times the step that most of the table's pivots have to it, in the table's own unit.
+    """
     tables = []
-    for tab, column, step in (("jwst_filter_meta", "pivotwavelength", 10.0), ("hst_filter_meta", "pivotwavelengthangstroms", 1.0)):
-        number = F.regexp_extract("filter_name", "^[A-Za-z]+([0-9]+)", 1).try_cast("double") * step
-        tables.append(table(spark, sf_dir, tab).select(F.concat_ws("|", F.lit(tab), "filter_name").alias("k"), F.lit(tab).alias("tab"), F.col(column).alias("pivot"), "remark", F.log10(F.when(number > 0, number)).alias("level")))
+    for tab, column, own in (("jwst_filter_meta", "pivotwavelength", 1e3), ("hst_filter_meta", "pivotwavelengthangstroms", 0.1)):
+        number = F.regexp_extract("filter_name", "^[A-Za-z]+([0-9]+)", 1).try_cast("double")
+        rows = table(spark, sf_dir, tab).select(F.concat_ws("|", F.lit(tab), "filter_name").alias("k"), F.lit(tab).alias("tab"), F.col(column).alias("pivot"), "remark", F.log10(F.when(number > 0, number)).alias("at"))
+        step = rows.where(usable("pivot") & (F.col("pivot") > 0)).agg(F.percentile(F.log10(F.col("pivot") * own) - F.col("at"), 0.5).alias("step"))
+        tables.append(rows.crossJoin(F.broadcast(step)).withColumn("level", F.col("at") + F.col("step")).drop("step"))  # one row
     pivot = F.col("pivot")
-    nm = to_common_unit(tables[0].unionByName(tables[1]), "k", F.col("tab"), F.col("level"), pivot, pivot, F.col("remark"), level=F.col("level"))
+    nm = to_common_unit(tables[0].unionByName(tables[1]), "k", F.col("tab"), F.col("at"), pivot, pivot, F.col("remark"), level=F.col("level"))
     tab, name = F.split_part("k", F.lit("|"), F.lit(1)), F.split_part("k", F.lit("|"), F.lit(2))
     own = F.when(tab == "jwst_filter_meta", 1e3).otherwise(0.1)
     proper = F.coalesce(F.abs(F.col("scale_nm") / own - 1) < 1e-6, F.lit(False))
@@ -87,7 +93,7 @@ def p4_common(spark: SparkSession, sf_dir: str, pivots: DataFrame | None = None)
         F.col("em_max"),
         F.col("em_unit"),
         level=F.when(F.col("collection").isin("JWST", "HST", "HLA"), F.log10("pivot_nm")),
-        always_decode=~F.col("several"),
+        chained=~F.col("several"),
     )
 
 
@@ -105,18 +111,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value that names an instant, as UTC, with its format and whether the reading is ambiguous."""
     sites = table(spark, sf_dir, "obs_sites").select("site_code", "zone_name").dropDuplicates(["site_code"])
-    zones = [r.zone_name for r in sites.select("zone_name").distinct().limit(2000).collect() if r.zone_name]  # a fixed table of sites
-    headers = table(spark, sf_dir, "fits_headers").join(F.broadcast(sites), "site_code", "left")
+    zones = [r.zone_name for r in sites.select("zone_name").distinct().collect() if r.zone_name]  # at most the IANA zones, a few hundred
+    headers = table(spark, sf_dir, "fits_headers").join(small(sites, 10_000), "site_code", "left")
     wire = table(spark, sf_dir, "coam_wire")
-    civil = dict(zone=F.col("zone_name"), zones=zones, scale=F.col("timesys"))
+    civil = dict(zone=F.col("zone_name"), scale=F.col("timesys"))
     telescope = F.upper(F.trim("telescop"))
-    parts = [
-        ("date_obs", "header_id", to_utc(headers, "header_id", F.col("date_obs"), telescope, clock=F.col("time_obs"), **civil)),
-        ("tstart", "header_id", to_utc(headers, "header_id", F.col("tstart"), telescope, numbers="header", unit=F.col("timeunit"), epoch=F.col("mjdref"), **civil)),
-        ("t_min", "wire_id", to_utc(wire, "wire_id", F.col("t_min"), F.col("feed"), numbers="feed")),
-    ]
-    named = [df.select(F.lit(field).alias("field"), F.col(key).alias("rec_id"), "utc_ms", "fmt", "posterior", "ambiguous") for field, key, df in parts]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+    read = candidates(headers, "header_id", F.col("date_obs"), telescope, field="date_obs", clock=F.col("time_obs"), **civil)
+    read = read.unionByName(candidates(headers, "header_id", F.col("tstart"), telescope, field="tstart", numbers="header", unit=F.col("timeunit"), epoch=F.col("mjdref"), **civil))
+    read = read.unionByName(candidates(wire, "wire_id", F.col("t_min"), F.col("feed"), field="t_min", numbers="feed"))
+    return resolve(read, zones).select("field", F.col("rid").alias("rec_id"), "utc_ms", "fmt", "posterior", "ambiguous")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

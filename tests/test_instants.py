@@ -79,3 +79,30 @@ def test_marks_hours_that_occur_twice_or_never(spark):
     df = spark.createDataFrame([(1, "2021-11-07T01:30:00"), (2, "2021-03-14T02:30:00"), (3, "2021-03-14T12:30:00")], "id long, v string")
     got = {r.id: r for r in to_utc(df, "id", F.col("v"), F.lit("x"), scale=F.lit("LOCAL"), zone=F.lit("America/New_York"), zones=["America/New_York"]).collect()}
     assert got[1].ambiguous and got[1].utc_ms == ms(2021, 11, 7, 5, 30) and got[2].ambiguous and not got[3].ambiguous
+
+
+def feed(spark, values):
+    """{value: reading} of (value, source) pairs."""
+    df = spark.createDataFrame([(i, v, s) for i, (v, s) in enumerate(values)], "id long, v string, f string")
+    got = {r.id: r for r in to_utc(df, "id", F.col("v"), F.col("f"), numbers="feed").collect()}
+    return [got.get(i) for i in range(len(values))]
+
+
+def test_order_of_day_and_month_is_learned_by_source(spark):
+    """The same text is read by what its own source says elsewhere; a source that says nothing leaves it open."""
+    days = [(f"{d:02d}/03/2019 10:00:00", "day first") for d in range(13, 29)] + [(f"03/{d:02d}/2019 10:00:00", "month first") for d in range(13, 29)]
+    asked = [("04/05/2019 10:00:00", s) for s in ("day first", "month first", "unknown")] + [("05/05/2019 10:00:00", "unknown"), ("31/31/2019 10:00:00", "unknown")]
+    day, month, unknown, same, none = feed(spark, days + asked)[len(days) :]
+    assert day.utc_ms == ms(2019, 5, 4, 10) and not day.ambiguous and day.fmt == "day/month"
+    assert month.utc_ms == ms(2019, 4, 5, 10) and not month.ambiguous and month.fmt == "month/day"
+    assert unknown.ambiguous and unknown.posterior == pytest.approx(0.5, abs=0.01)
+    assert same.utc_ms == ms(2019, 5, 5, 10) and not same.ambiguous and none is None
+
+
+def test_unit_of_counts_is_learned_from_the_years_of_a_source(spark):
+    """A whole number as seconds or as milliseconds: the years in which a source's other values lie decide."""
+    old = [(f"1970-02-{d:02d}T00:00:00Z", "old") for d in range(1, 20)]
+    new = [(f"2001-07-{d:02d}T00:00:00Z", "new") for d in range(1, 20)]
+    a, b = feed(spark, old + new + [("995952222", "old"), ("995952222", "new")])[-2:]
+    assert (a.fmt, a.utc_ms) == ("unix ms", 995952222) and not a.ambiguous
+    assert (b.fmt, b.utc_ms) == ("unix s", 995952222000) and not b.ambiguous
