@@ -64,17 +64,21 @@ class Vocabulary:
             else:
                 raise ValueError("a byte is not in the vocabulary")
 
+    def walk(self, last: list[int]) -> list[int]:
+        """Ids of the bytes whose prefixes' last tokens are ``last``."""
+        ids, end = [], len(last) - 1
+        while end:
+            ids.append(last[end])
+            end -= len(self.bytes[last[end]])
+        ids.reverse()
+        return ids
+
     def piece(self, text: str) -> list[int]:
         ids = self.pieces.get(text)
         if ids is None:
-            data = text.encode("utf-8", "surrogatepass")
             last = [-1]
-            self.extend(data, last)
-            ids, end = [], len(data)
-            while end:
-                ids.append(last[end])
-                end -= len(self.bytes[last[end]])
-            ids.reverse()
+            self.extend(text.encode("utf-8", "surrogatepass"), last)
+            ids = self.walk(last)
             if len(self.pieces) >= MEMORY:
                 self.pieces.clear()
             self.pieces[text] = ids
@@ -88,59 +92,140 @@ class Vocabulary:
         return self._find(text)
 
 
+class Piece:
+    """A piece of text with its prefix table: the last token of each byte prefix."""
+
+    __slots__ = ("text", "data", "last")
+
+    def __init__(self, vocabulary: Vocabulary, text: str, old: "Piece | None" = None):
+        self.text, self.data, self.last = text, text.encode("utf-8", "surrogatepass"), [-1]
+        if old is not None:  # what both begin with keeps its entries
+            same = next((k for k, (x, y) in enumerate(zip(self.data, old.data)) if x != y), min(len(self.data), len(old.data)))
+            self.last = old.last[: same + 1]
+        vocabulary.extend(self.data, self.last)
+
+
 class Editable:
-    """A text with its ids, kept exact under appends and edits.
+    """A text with the prefix tables of its pieces, kept exact under appends and edits.
 
-    A piece depends on the text to its right only at its end, and a contraction on the two pieces before
-    it; so two pieces to the left of a change are cut again, and to the right as many as it takes until
-    an old boundary returns.
+    Pieces lie in blocks of bounded length, so a place is found and pieces are exchanged without walking
+    over the text. A piece depends on the text to its right only at its end, and a contraction on the two
+    pieces before it; so two pieces to the left of a change are cut again, and to the right as many as
+    it takes until an old boundary returns. A piece that begins like the old one in its place goes on from
+    the old table. ``encoded`` counts the bytes that the last change entered into tables.
     """
 
+    BLOCK = 256
+
     def __init__(self, vocabulary: Vocabulary, text: str = ""):
         self.vocabulary = vocabulary
-        self.pieces = vocabulary.split(text)
+        self.blocks: list[list[Piece]] = [[]]
+        self.lengths = [0]
         self.encoded = 0
+        if text:
+            self.edit(0, 0, text)
+
+    def __iter__(self) -> Iterator[Piece]:
+        return (p for block in self.blocks for p in block)
 
     @property
     def text(self) -> str:
-        return "".join(self.pieces)
+        return "".join(p.text for p in self)
 
     @property
     def ids(self) -> list[int]:
-        return [i for p in self.pieces for i in self.vocabulary.piece(p)]
+        return [i for p in self for i in self.vocabulary.walk(p.last)]
 
     def append(self, more: str) -> None:
-        self.edit(sum(map(len, self.pieces)), 0, more)
+        self.edit(sum(self.lengths), 0, more)
+
+    def _find(self, at: int) -> tuple[int, int, int]:
+        """Block, index and start of the piece that is cut again first for a change at ``at``."""
+        start, b = 0, 0
+        while b < len(self.blocks) - 1 and start + self.lengths[b] < at:
+            start += self.lengths[b]
+            b += 1
+        k = 0
+        while k < len(self.blocks[b]) and start + len(self.blocks[b][k].text) < at:
+            start += len(self.blocks[b][k].text)
+            k += 1
+        for _ in range(2):
+            if k == 0 and b > 0:
+                b -= 1
+                k = len(self.blocks[b])
+            if k:
+                k -= 1
+                start -= len(self.blocks[b][k].text)
+        return b, k, start
 
     def edit(self, at: int, removed: int, inserted: str) -> None:
         """Replaces ``removed`` characters from ``at`` on by ``inserted``."""
-        start, first = 0, 0
-        while first < len(self.pieces) and start + len(self.pieces[first]) < at:
-            start += len(self.pieces[first])
-            first += 1
-        for _ in range(2):
-            if first:
-                first -= 1
-                start -= len(self.pieces[first])
-        rest = "".join(self.pieces[first:])
-        if at - start + removed > len(rest):
+        if at < 0 or removed < 0 or at + removed > sum(self.lengths):
             raise IndexError("the edit reaches beyond the text")
-        rest = rest[: at - start] + inserted + rest[at - start + removed :]
-        shift = len(inserted) - removed
-        old, place = {}, start
-        for k in range(first, len(self.pieces)):
-            old[place] = k
-            place += len(self.pieces[k])
-        fresh, here = [], start
-        for match in regex.finditer(PATTERN, rest):
-            if here >= at + len(inserted) and here - shift in old and here - shift >= at + removed:
-                self.pieces[first:] = fresh + self.pieces[old[here - shift] :]
-                break
-            fresh.append(match[0])
-            here += len(match[0])
-        else:
-            self.pieces[first:] = fresh
-        self.encoded = len(fresh)
+        first_block, first, start = self._find(at)
+        taken: list[Piece] = []  # old pieces from ``start`` on
+        following = (p for b in range(first_block, len(self.blocks)) for p in self.blocks[b][first if b == first_block else 0 :])
+        reached, more = start, 4
+        while True:
+            whole = False
+            while reached < at + removed or more:
+                piece = next(following, None)
+                if piece is None:
+                    whole = True
+                    break
+                taken.append(piece)
+                if reached >= at + removed:
+                    more -= 1
+                reached += len(piece.text)
+            old = "".join(p.text for p in taken)
+            window = old[: at - start] + inserted + old[at - start + removed :]
+            cuts, shift = self.vocabulary.split(window), len(inserted) - removed
+            bounds, place = {}, start
+            for k, p in enumerate(taken):
+                bounds[place] = k
+                place += len(p.text)
+            fresh, here, keep = [], start, len(taken)
+            for k, text in enumerate(cuts):
+                # a boundary of old pieces beyond the change, and not at the end of the window, where a cut may depend on what follows
+                if here >= at + len(inserted) and here - shift >= at + removed and here - shift in bounds and k < len(cuts) - 1:
+                    keep = bounds[here - shift]
+                    break
+                fresh.append(text)
+                here += len(text)
+            else:
+                if not whole:
+                    more = 2 * len(taken)
+                    continue
+            break
+        before = {}
+        place = start
+        for p in taken[:keep]:
+            before[place] = p
+            place += len(p.text)
+        new, place, self.encoded = [], start, 0
+        for text in fresh:
+            old_piece = before.get(place)
+            if old_piece is not None and old_piece.text == text:
+                new.append(old_piece)
+            else:
+                new.append(Piece(self.vocabulary, text, old_piece))
+                same = next((k for k, (x, y) in enumerate(zip(new[-1].data, old_piece.data)) if x != y), min(len(new[-1].data), len(old_piece.data))) if old_piece else 0
+                self.encoded += len(new[-1].data) - same
+            place += len(text)
+        self._exchange(first_block, first, keep, new)
+
+    def _exchange(self, b: int, k: int, n: int, new: list[Piece]) -> None:
+        """Puts ``new`` in the place of ``n`` pieces from piece ``k`` of block ``b`` on."""
+        last = b
+        rest = n
+        while rest > len(self.blocks[last]) - (k if last == b else 0) and last < len(self.blocks) - 1:
+            rest -= len(self.blocks[last]) - (k if last == b else 0)
+            last += 1
+        tail = self.blocks[last][(k if last == b else 0) + rest :]
+        pieces = self.blocks[b][:k] + new + tail
+        blocks = [pieces[i : i + self.BLOCK] for i in range(0, len(pieces), self.BLOCK)] or [[]]
+        self.blocks[b : last + 1] = blocks
+        self.lengths[b : last + 1] = [sum(len(p.text) for p in block) for block in blocks]
 
 
 def _encoder(lines, counts: bool):
