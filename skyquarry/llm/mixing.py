@@ -4,7 +4,8 @@ Capped water-filling: every source gets its share of the total; sources that wou
 most repetitions are clamped there and the excess goes to the others in proportion, until all fit. A
 source's epochs are whole repetitions of all its records and a seeded sample for the fraction. The
 sample takes records in the order of a hash of their key up to a threshold, found from two rounds of
-histograms of the hash (4096 cells a source), so no source is ever sorted or gathered.
+histograms of the hash (4096 cells a source), so no source is ever sorted or gathered. Only one row a
+target reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,10 +13,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyquarry.session import small
+
 CELLS = 4096
+#: Most sources whose plan is broadcast; beyond, it is joined by a shuffle, with the same result.
+MOST_SOURCES = 50_000
 
 
 @dataclass
@@ -61,13 +66,11 @@ def _hash(key: str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(CELLS * CELLS))
 
 
-def _threshold(cells: dict[int, int], want: float) -> tuple[int, float]:
-    """First cell that does not fit whole below ``want`` in the order of cells, and what is left for it."""
-    for cell in sorted(cells):
-        if cells[cell] > want:
-            return cell, want
-        want -= cells[cell]
-    return CELLS, 0.0
+def _edge(cells: DataFrame, source: str, cell: str) -> DataFrame:
+    """(source, cell, left): of (source, cell, n, want) the first cell that does not fit whole below ``want``, and what is left for it."""
+    run = F.sum("n").over(Window.partitionBy(source).orderBy(cell).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    over = cells.withColumn("run", run).where(F.col("run") > F.col("want"))
+    return over.groupBy(source).agg(F.min(F.struct(cell, (F.col("want") - F.col("run") + F.col("n")).alias("left"))).alias("e")).select(source, f"e.{cell}", "e.left")
 
 
 def mix(sizes: DataFrame, key: str, source: str, size: str, targets: DataFrame, share: str, most: str, *, total: float | None = None, seed: int = 42) -> tuple[DataFrame, list[Allocation]]:
@@ -77,29 +80,23 @@ def mix(sizes: DataFrame, key: str, source: str, size: str, targets: DataFrame,
     Records of a source without a target, or of a null source, are not used; a target without records
     stays at zero and its share goes to the others; a null or negative share counts as 0, null repeats
     as 1. Targets are one row a source (the largest share of repeated ones). ``sizes`` should be cut or
-    cheap, as it is read four times. Extra columns are ignored; empty tables give an empty mixture.
+    cheap, as it is read several times. Extra columns are ignored; empty tables give an empty mixture.
     """
-    have = {r[0]: r[1] for r in sizes.groupBy(source).agg(F.sum(size)).collect() if r[0] is not None}  # a row per source
-    wanted = targets.where(F.col(source).isNotNull()).groupBy(source).agg(F.max(share), F.max(most)).collect()
-    sources = [Allocation(r[0], max(0.0, r[1] or 0.0), int(have.get(r[0]) or 0), float(1 if r[2] is None else max(0, r[2]))) for r in wanted]
+    have = sizes.where(F.col(source).isNotNull()).groupBy(source).agg(F.sum(size).alias("_size"))
+    wanted = targets.where(F.col(source).isNotNull()).groupBy(source).agg(F.max(share).alias("_share"), F.max(most).alias("_most"))
+    rows = wanted.join(have, source, "left").select(source, "_share", "_most", "_size").collect()  # a row per target
+    sources = [Allocation(r[0], max(0.0, r[1] or 0.0), int(r[3] or 0), float(1 if r[2] is None else max(0, r[2]))) for r in rows]
     sources.sort(key=lambda s: s.source)
     water_fill(sources, largest_total(sources) if total is None else total)
 
-    spark = sizes.sparkSession
-    part = {s.source: (math.floor(s.epochs + 1e-9), max(0.0, s.epochs - math.floor(s.epochs + 1e-9)) * s.size) for s in sources}
-    used = sizes.select(key, source, F.col(size).alias("size")).withColumn("h", _hash(key, seed)).where(F.col(source).isin([s.source for s in sources]))
-    coarse: dict[str, dict[int, int]] = {}
-    for r in used.groupBy(source, F.floor(F.col("h") / CELLS).alias("cell")).agg(F.sum("size").alias("n")).collect():  # at most CELLS a source
-        coarse.setdefault(r[0], {})[r.cell] = r.n or 0
-    edge = {s: _threshold(coarse.get(s, {}), want) for s, (_, want) in part.items()}
-    rule = [(s, part[s][0], edge[s][0]) for s in part]
-    rules = spark.createDataFrame(rule, f"`{source}` string, whole long, cell long") if rule else None
-    if rules is None:
-        return sizes.select(key, source, size, F.lit(0).cast("long").alias("repeats")).limit(0), sources
-    used = used.join(F.broadcast(rules), source)  # a row per source
-    fine: dict[str, dict[int, int]] = {}
-    for r in used.where(F.floor(F.col("h") / CELLS) == F.col("cell")).groupBy(source, (F.col("h") % CELLS).alias("f")).agg(F.sum("size").alias("n")).collect():
-        fine.setdefault(r[0], {})[r.f] = r.n or 0
-    limits = spark.createDataFrame([(s, edge[s][0] * CELLS + (_threshold(fine.get(s, {}), edge[s][1])[0] if edge[s][1] > 0 else 0)) for s in part], f"`{source}` string, upto long")
-    chosen = used.join(F.broadcast(limits), source).withColumn("repeats", F.col("whole") + F.when(F.col("h") < F.col("upto"), 1).otherwise(0))
+    whole = lambda s: math.floor(s.epochs + 1e-9)
+    plan = sizes.sparkSession.createDataFrame([(s.source, whole(s), max(0.0, s.epochs - whole(s)) * s.size) for s in sources], f"`{source}` string, whole long, want double")
+    used = sizes.select(key, source, F.col(size).alias("size")).join(small(plan, MOST_SOURCES), source).withColumn("h", _hash(key, seed)).withColumn("cell", F.floor(F.col("h") / CELLS))
+    part = used.where("want > 0")
+    coarse = _edge(part.groupBy(source, "cell", "want").agg(F.sum("size").alias("n")), source, "cell")
+    at_edge = part.join(small(coarse, MOST_SOURCES), [source, "cell"]).withColumn("fine", F.col("h") % CELLS)
+    fine = _edge(at_edge.groupBy(source, "fine", F.col("left").alias("want")).agg(F.sum("size").alias("n")), source, "fine").drop("left")
+    limits = coarse.join(fine, source, "left").select(source, (F.col("cell") * CELLS + F.coalesce("fine", F.lit(0))).alias("upto"))
+    chosen = used.join(small(limits, MOST_SOURCES), source, "left")
+    chosen = chosen.withColumn("repeats", F.col("whole") + F.when(F.col("h") < F.col("upto"), 1).otherwise(0))
     return chosen.where("repeats > 0").select(key, source, F.col("size").alias(size), "repeats"), sources

@@ -51,10 +51,31 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, chosen, sources)
 
 
+def _corpus_size(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
+    sizes = cut(count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", ["source"]))
+    return sizes, float(sizes.agg(F.sum("n_tokens")).first()[0] or 0)
+
+
+def _whole(spark: SparkSession, sf_dir: str):
+    """A mixture as large as the whole corpus: sources too small for their share are clamped, and the others take the excess."""
+    sizes, total = _corpus_size(spark, sf_dir)
+    return mix(sizes, "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_targets"), "target_share", "max_repeats", total=total)
+
+
+def p9_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a mixture as large as the corpus and how often each is used."""
+    return _whole(spark, sf_dir)[0]
+
+
+def p9_whole_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source in the mixture as large as the corpus, and which are clamped."""
+    return _report(spark, *_whole(spark, sf_dir))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subject areas of every document."""
     return subjects_of(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "doc_labels"), "doc_id", "subject")
 
 
-QUERIES = {"p6_found": p6_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p6_found": p6_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_whole": p9_whole, "p9_whole_shares": p9_whole_shares, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
