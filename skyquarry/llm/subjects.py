@@ -2,8 +2,9 @@
 
 Each subject has an interpolated n-gram language model, trained on the sentences of labelled documents.
 A sentence treats the subject whose model gives it the lowest cross-entropy per token, if that lies below
-the background's by more than a margin that is calibrated on the labelled documents. A document gets the
-subjects that at least three of its sentences treat, and a subject that is the only one treated.
+the background's, and below that of the model of no subject, by more than the subject's margin. The
+margins, one a subject, are calibrated on held-out labelled documents. A document gets the subjects that
+at least three of its sentences treat, and a subject that is the only one treated.
 
 Labels belong to documents, not to sentences: training starts from sentences shared among the labels of
 their document and then reassigns them by expectation-maximisation among these labels,
@@ -34,8 +35,11 @@ WEIGHTS = (0.35, 0.64, 0.01)
 REST = 0.25
 #: Prior weights of a sentence: one of the document's subjects, none, another subject.
 PRIOR = {"label": 0.6, "none": 0.3, "other": 0.1}
-#: Margins (nats below the background's cross-entropy, over the sentence) that calibration tries.
-MARGINS = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0)
+#: Margins (nats a token below the background's cross-entropy) that calibration tries, and the one before it.
+MARGINS = (0.0, 0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.15, 0.18, 0.21, 0.25, 0.3, 0.35, 0.4, 0.5)
+MARGIN = 0.15
+#: By how many documents' subjects a margin of its own must better the agreement before a subject leaves the common one.
+EVIDENCE = 0.5
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _END = re.compile(r"(?<=[.!?…。])[\"'»”)]*\s+(?=[\"'«“(¿¡]*[^\W\d_])|(?<=[.!?。])\s*$|\n{2,}|[。！？]")
 _CODE = re.compile(r"^\s*(?:[A-Z][A-Z0-9_-]{0,7}\s*=|(?:def|class|import|from|for|while|if|elif|else|return|let|var|func|print|select|SELECT|#include|//|#|\$|>>>)\b.*[=():{};]|[\w.\[\]]+\s*=\s*\S|[{}\[\]();]+\s*$|\S+\(.*\)\s*[;:{]?\s*$)")
@@ -97,7 +101,7 @@ class Classifier:
     pairs: dict[int, int]
     one: np.ndarray
     two: np.ndarray
-    margin: float = 2.0
+    margins: np.ndarray | None = None
 
     def gains(self, corpus: Corpus) -> np.ndarray:
         """Cross-entropy of each sentence below the background's (nats), by subject and, last, for none."""
@@ -108,13 +112,16 @@ class Classifier:
         return np.add.reduceat(np.log(REST + (1 - REST) * p[:, :-1] / p[:, -1:]), corpus.starts)
 
     def choose(self, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
-        """Of each sentence the best subject, and its gain over the background and over the model of no subject."""
+        """Of each sentence the best subject, and its gain a token over the background and over the model of no subject."""
         gains = self.gains(corpus)
         own = gains[:, :-1]
-        return own.argmax(1), own.max(1) - np.maximum(gains[:, -1], 0.0)
+        tokens = np.diff(np.r_[corpus.starts, len(corpus.words)])
+        return own.argmax(1), (own.max(1) - np.maximum(gains[:, -1], 0.0)) / np.maximum(tokens, 1)
 
     def treated(self, sents: list[list[str]]) -> list[str | None]:
-        return [self.subjects[k] if g > self.margin else None for k, g in zip(*self.choose(_flatten(sents, self.ids, self.pairs)))]
+        who, gain = self.choose(_flatten(sents, self.ids, self.pairs))
+        margins = self.margins if self.margins is not None else np.full(len(self.subjects), MARGIN)
+        return [self.subjects[k] if g > m else None for k, g, m in zip(who, gain, margins[who])]
 
     def of_documents(self, texts: list[str | None]) -> list[list[str]]:
         split = [sentences(t) if t else [] for t in texts]
@@ -175,33 +182,55 @@ def _fit(split: list[tuple[list[list[str]], list[str]]], rounds: int) -> Classif
     return model
 
 
-def _best_margin(model: Classifier, split) -> float:
-    """Margin with the best agreement (F1 of the documents' subjects) with labels; ties to the larger."""
-    who, gain = model.choose(_flatten([s for sents, _ in split for s in sents], model.ids, model.pairs))
-    ends = np.cumsum([0] + [len(sents) for sents, _ in split])
-    best = (-1.0, 0.0)
-    for margin in MARGINS:
-        hit = said = true = 0
-        for k, (_, labels) in enumerate(split):
-            own = slice(ends[k], ends[k + 1])
-            got = set(accept(Counter(model.subjects[j] for j, g in zip(who[own], gain[own]) if g > margin)))
-            hit, said, true = hit + len(got & set(labels)), said + len(got), true + len(labels)
-        best = max(best, (2 * hit / max(1, said + true), margin))
-    return best[1]
+def _calibrate(parts: list[tuple[Classifier, list]], subjects: list[str]) -> np.ndarray:
+    """One margin a subject with the best agreement (F1 of the documents' subjects) over held-out parts.
+
+    The best common margin first (ties to the larger), then each subject's in turn while the agreement rises by
+    more than chance would: a few labelled documents leave the common margin in place.
+    """
+    who, gain, doc, truth, n = [], [], [], [], 0
+    for model, split in parts:
+        w, g = model.choose(_flatten([s for sents, _ in split for s in sents], model.ids, model.pairs))
+        to = np.array([subjects.index(s) for s in model.subjects])
+        who.append(to[w] if len(w) else w)
+        gain.append(g)
+        doc.append(np.repeat(np.arange(n, n + len(split)), [len(sents) for sents, _ in split]))
+        for _, labels in split:
+            truth.append([s in labels for s in subjects])
+        n += len(split)
+    who, gain, doc, truth = np.concatenate(who), np.concatenate(gain), np.concatenate(doc), np.array(truth, bool)
+    cell = doc * len(subjects) + who
+
+    def agreement(margins: np.ndarray) -> float:
+        counts = np.bincount(cell[gain > margins[who]], minlength=truth.size).reshape(truth.shape)
+        said = (counts >= LEAST_SENTENCES) | ((counts > 0) & ((counts > 0).sum(1, keepdims=True) == 1))
+        return 2 * (said & truth).sum() / max(1, said.sum() + truth.sum())
+
+    best, margins = max((agreement(np.full(len(subjects), m)), m) for m in MARGINS)
+    margins = np.full(len(subjects), margins)
+    for _ in range(2):
+        for k in range(len(subjects)):
+            for m in MARGINS:
+                trial = margins.copy()
+                trial[k] = m
+                found = agreement(trial)
+                if found > best + EVIDENCE / truth.sum():
+                    best, margins = found, trial
+    return margins
 
 
 def train(documents: list[tuple[str, list[str]]], rounds: int = 4) -> Classifier | None:
-    """documents: (text, subjects), in a fixed order. The margin is calibrated on held-out halves; None without labels."""
+    """documents: (text, subjects), in a fixed order. The margins are calibrated on held-out halves; None without labels."""
     split = [(sentences(text or ""), sorted(set(labels))) for text, labels in documents]
     split = [(sents, labels) for sents, labels in split if labels and sents]
     if not split:
         return None
     random.Random(0).shuffle(split)
     halves = split[::2], split[1::2]
-    margins = [_best_margin(_fit(a, rounds), b) for a, b in (halves, halves[::-1]) if a and b]
+    parts = [(_fit(a, rounds), b) for a, b in (halves, halves[::-1]) if a and b]
     model = _fit(split, rounds)
-    if margins:
-        model.margin = sum(margins) / len(margins)
+    if parts:
+        model.margins = _calibrate(parts, model.subjects)
     return model
 
 
@@ -234,5 +263,5 @@ def subjects_of(documents: DataFrame, key: str, text: str, labels: DataFrame, la
     if model is None:
         return spark.createDataFrame([], schema).withColumnRenamed("doc", key)
     # plain values, as a broadcast object would need this package on every executor; bounded by the training sample
-    shared = spark.sparkContext.broadcast((model.subjects, model.ids, model.pairs, model.one, model.two, model.margin))
+    shared = spark.sparkContext.broadcast((model.subjects, model.ids, model.pairs, model.one, model.two, model.margins))
     return texts.mapInPandas(_classify(shared), schema).distinct().withColumnRenamed("doc", key)
