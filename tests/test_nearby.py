@@ -67,3 +67,36 @@ def test_inside_against_all_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == want
     assert points_in_regions(a.limit(0), "id", "ra", "dec", b, "rid", "reg").count() == 0
     assert points_in_regions(a, "id", "ra", "dec", b.limit(0), "rid", "reg").count() == 0
+
+
+def test_a_crowded_strip_spreads_over_partitions(spark):
+    """A third of all rows within one strip: its cells go to many tasks, and no pair at their borders is lost or doubled."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rnd = np.random.default_rng(7)
+    r = 2 / 3600
+    hot = [(i, float(rnd.uniform(0, 360)), 10.0 + float(rnd.uniform(0, r))) for i in range(4000)]
+    hot += [(4000 + i, p[1] + 0.9 * r, p[2]) for i, p in enumerate(hot[:500])]
+    cold = [(10_000 + i, float(rnd.uniform(0, 360)), float(rnd.uniform(-89, 89))) for i in range(6000)]
+    df = spark.createDataFrame(hot + cold, "id long, ra double, dec double")
+    got = near_pairs(df, "id", "ra", "dec", r)
+    found = [tuple(x) for x in got.collect()]
+    by = sorted(hot + cold, key=lambda p: p[1] % 360)
+    want = set()
+    for i, a in enumerate(by):
+        for step in range(1, len(by)):
+            b = by[(i + step) % len(by)]
+            if (b[1] - a[1]) % 360 > 0.05:
+                break
+            if regions.separation(*a[1:], *b[1:]) <= r:
+                want.add((min(a[0], b[0]), max(a[0], b[0])))
+    dec = {p[0]: p[2] for p in by}
+    low = lambda pairs: {x for x in pairs if abs(dec[x[0]]) < 80}  # noqa: E731 - nearer to a pole 0.05 degrees are no window
+    assert len(found) == len(set(found)) and low(found) == low(want)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        where = got.withColumn("part", F.spark_partition_id()).where("id_a < 5000").select("part").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert where >= 2
