@@ -62,66 +62,69 @@ def _year_ms(year: int) -> int:
     return int((datetime(year, 1, 1) - datetime(1970, 1, 1)).total_seconds() * 1000)
 
 
-def _clock(hour: Column, mi: Column, s: Column, half: Column) -> Column:
-    """Milliseconds of day from digits; null if impossible. A leap second counts as the next midnight's."""
-    half = F.upper(half)
-    hours = F.when((half == "") & (hour < 24), hour).when(hour.between(1, 12), hour % 12 + F.when(half == "PM", 12).otherwise(0))
-    second = F.when(s == "", F.lit("0")).otherwise(s).try_cast("decimal(20,12)")
-    return F.when((mi.try_cast("int") < 60) & (second < 61), hours.cast("long") * 3_600_000 + mi.try_cast("long") * 60_000 + F.round(second * 1000).cast("long"))
+def _clock(hour: Column, minute: Column, second: Column, half: Column) -> Column:
+    """Milliseconds of day; null if impossible. A leap second counts as the next midnight's."""
+    hours = F.when((half == "") & (hour < 24), hour).when((half != "") & hour.between(1, 12), hour % 12 + F.when(half == "PM", 12).otherwise(0))
+    return F.when((minute < 60) & (second < 61), hours.cast("long") * 3_600_000 + minute.cast("long") * 60_000 + F.round(second * 1000).cast("long"))
 
 
-def _groups(text: Column, pattern: str, n: int) -> Column:
-    """Groups of a match as an array from 1, '' for those without part in it, from one run of the pattern; null without a match."""
-    found = F.split(F.regexp_replace(text, pattern, _CUT + _CUT.join(f"${i}" for i in range(1, n + 1))), _CUT)
-    return F.when(F.size(found) == n + 1, found)
+def _groups(text: Column, pattern: str, parts: list[list[int]]) -> Column:
+    """For each part its groups of a match, one after another, as an array from 1, from one run of the pattern; null without a match."""
+    template = _CUT + _CUT.join("".join(f"${g}" for g in groups) for groups in parts)
+    found = F.split(F.regexp_replace(text, pattern, template), _CUT)
+    return F.when(F.size(found) == len(parts) + 1, found)
+
+
+_FIELDS = ["y", "yy", "m", "mon", "d", "doy", "h", "mi", "s", "ap", "z", "f"]
 
 
 def _read_text(rows: DataFrame) -> DataFrame:
     """With ``words``, an array of struct(fmt, local ms, zone text): the readings of the text format that fits.
 
-    All formats are alternatives of one pattern, so one field's groups are all empty but one. Groups,
-    fields and instant are computed in steps, each as columns of the one before.
+    All formats are alternatives of one pattern, so of a field's groups all are empty but one, and writing
+    them one after another gives the field. Fields and instant are computed in steps, each as columns of
+    the one before.
     """
     first, at = {}, 0
     for name, pattern, fields in TEXT_FORMATS:
         first[name] = at
         at += max(fields.values())
     whole = "^(?:" + "|".join(pattern for _, pattern, _ in TEXT_FORMATS) + ")$"
+    parts = [[first[name] + fields[k] for name, _, fields in TEXT_FORMATS if k in fields] for k in _FIELDS]
+    years = [[first[name] + fields.get("y", fields.get("yy"))] for name, _, fields in TEXT_FORMATS]
+    text = F.col("text")
     # most junk and all numbers are refused without the pattern
-    dated = F.col("text").rlike(r"^[^.,]*\d[-/:. ]|^\d{8}|^[A-Za-z]{3}")
-    rows = rows.withColumn("g", F.when(dated & ~F.col("text").contains(_CUT), _groups(F.col("text"), whole, at)))
-
-    def field(k: str) -> Column:
-        return F.concat(*[F.get("g", F.lit(first[name] + fields[k])) for name, _, fields in TEXT_FORMATS if k in fields])
-
-    some = lambda c: F.nullif(c, F.lit(""))
-    year_at = lambda name, fields: F.get("g", F.lit(first[name] + fields.get("y", fields.get("yy"))))
-    fmt = F.coalesce(*[F.when(year_at(name, fields) != "", F.lit(name)) for name, _, fields in TEXT_FORMATS])
+    dated = text.rlike(r"^[^.,]*\d[-/:. ]|^\d{8}|^[A-Za-z]{3}") & ~text.contains(_CUT)
+    rows = rows.withColumn("g", F.when(dated, _groups(text, whole, parts + years)))
+    rows = rows.withColumns({k: F.get("g", F.lit(i + 1)) for i, k in enumerate(_FIELDS)} | {"which": F.array_join(F.slice("g", len(_FIELDS) + 2, len(years)), ",")})
+    names = F.array(*[F.lit(name) for name, _, _ in TEXT_FORMATS])
+    rows = rows.withColumn("fmt", F.get(names, F.length("which") - F.length(F.ltrim("which", F.lit(",")))))
     bare = [name for name, _, fields in TEXT_FORMATS if "h" not in fields and "f" not in fields]
-    rows = rows.withColumns({"fmt": fmt, "yy": field("yy"), "mon": F.lower(F.substring(field("mon"), 1, 3)), "m": field("m"), "dd": field("d"), "doy": some(field("doy")).try_cast("int")})
-    rows = rows.withColumn("c", F.when(F.col("fmt").isin(bare), _groups(F.trim("clock"), _CLOCK, 3)))
+    rows = rows.withColumn("c", F.when(F.col("fmt").isin(bare), _groups(F.trim("clock"), _CLOCK, [[1], [2], [3]])))
     months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, f"{i:02d}")])
+    some = lambda c: F.nullif(c, F.lit(""))
+    rows = rows.withColumns(
+        {
+            "year": F.when(F.col("y") != "", F.col("y")).otherwise(F.concat(F.lit("19"), F.col("yy"))),
+            "mo": F.when(F.col("mon") != "", F.try_element_at(months, F.lower(F.substring("mon", 1, 3)))).otherwise(F.lpad("m", 2, "0")),
+            "dd": F.lpad("d", 2, "0"),
+            "nth": some(F.col("doy")).try_cast("int"),
+            "hour": F.coalesce(some(F.col("h")), F.get("c", F.lit(1))).try_cast("int"),
+            "minute": F.coalesce(some(F.col("mi")), F.get("c", F.lit(2))).try_cast("int"),
+            "second": F.coalesce(some(F.col("s")), some(F.get("c", F.lit(3))), F.lit("0")).try_cast("decimal(20,12)"),
+            "part": F.when(F.col("f") != "", F.concat(F.lit("0"), F.col("f"))).try_cast("decimal(20,15)"),
+        }
+    )
+    day = lambda m, d: F.unix_date(F.concat("year", F.lit("-"), m, F.lit("-"), d).try_cast("date")).cast("long")
+    ordinal = F.when((F.col("nth") > 0) & ((F.col("nth") < 366) | F.concat("year", F.lit("-02-29")).try_cast("date").isNotNull() & (F.col("nth") == 366)), day(F.lit("01"), F.lit("01")) + F.col("nth") - 1)
     rows = rows.withColumns(
         {
-            "y": F.coalesce(some(field("y")), F.concat(F.lit("19"), some(F.col("yy")))),
-            "mo": F.coalesce(F.try_element_at(months, F.col("mon")), F.lpad(some(F.col("m")), 2, "0")),
-            "d": F.lpad(F.col("dd"), 2, "0"),
-            "h": F.coalesce(some(field("h")), F.get("c", F.lit(1))),
-            "mi": F.coalesce(some(field("mi")), F.get("c", F.lit(2))),
-            "s": F.coalesce(some(field("s")), F.get("c", F.lit(3)), F.lit("")),
-            "ap": F.coalesce(field("ap"), F.lit("")),
-            "f": F.concat(F.lit("0"), some(field("f"))).try_cast("decimal(20,15)"),
-            "z": F.coalesce(field("z"), F.lit("")),
+            "day": F.when(F.col("nth").isNull(), day(F.col("mo"), F.col("dd"))).otherwise(ordinal),
+            "other": F.when(F.col("fmt").isin(*SWAPPED), day(F.col("dd"), F.col("mo"))),
+            "of_day": F.coalesce(_clock(F.col("hour"), F.col("minute"), F.col("second"), F.upper("ap")), F.round(F.col("part") * DAY_MS).cast("long")),
         }
     )
-    january = F.concat("y", F.lit("-01-01")).try_cast("date")
-    day = lambda m, d: F.concat("y", F.lit("-"), m, F.lit("-"), d).try_cast("date")
-    swapped = F.when(F.col("fmt").isin(*SWAPPED), day(F.col("d"), F.col("mo")))
-    ordinal = F.when(F.col("doy") > 0, F.date_add(january, F.col("doy") - 1))
-    rows = rows.withColumns({"day": F.when(F.col("doy").isNull(), day(F.col("mo"), F.col("d"))).otherwise(ordinal), "other": swapped, "hour": F.col("h").try_cast("int")})
-    good_day = F.col("doy").isNull() | (F.year("day") == F.col("y").try_cast("int"))
-    of_day = F.coalesce(_clock(F.col("hour"), F.col("mi"), F.col("s"), F.col("ap")), F.round(F.col("f") * DAY_MS).cast("long"))
-    rows = rows.withColumn("of_day", of_day).withColumns({"ms": F.when(good_day, F.unix_date("day").cast("long") * DAY_MS + F.col("of_day")), "ms2": F.unix_date("other").cast("long") * DAY_MS + F.col("of_day")})
+    rows = rows.withColumns({"ms": F.col("day") * DAY_MS + F.col("of_day"), "ms2": F.col("other") * DAY_MS + F.col("of_day")})
     second = F.create_map(*[F.lit(x) for pair in SWAPPED.items() for x in pair])
     words = F.array(
         F.when(F.col("ms").isNotNull(), F.struct("fmt", "ms", F.col("z").alias("zone"))),
@@ -133,7 +136,7 @@ def _read_text(rows: DataFrame) -> DataFrame:
 def _read_numbers(rows: DataFrame, mode: str) -> tuple[DataFrame, list[Column]]:
     """Readings of numbers. header: epoch + value in its unit, MJD or JD. feed: MJD, JD, Unix s or ms."""
     text = F.col("text")
-    rows = rows.withColumn("nb", _groups(text, _NUMBER, 3))
+    rows = rows.withColumn("nb", _groups(text, _NUMBER, [[1], [2], [3]]))
     prefix, whole, part = (F.get("nb", F.lit(i)) for i in (1, 2, 3))
     value = F.concat(whole, F.lit("."), F.when(part == "", F.lit("0")).otherwise(F.substring(part, 1, 16))).try_cast("decimal(32,16)")
     rows = rows.withColumns({"value": value, "prefix": F.upper(prefix), "integral": ~text.contains(".") & ~text.contains(",")})
