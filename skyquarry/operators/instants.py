@@ -38,7 +38,7 @@ CERTAIN = 0.9
 
 _DATE = r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})"
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d*)?))?\s*(AM|PM|am|pm)?"
-_ZONE = r"\s*([A-Za-z_]+/[A-Za-z0-9_/+-]+|[A-Za-z]{1,5}|[+-]\d{2}(?::?\d{2})?)?"
+_ZONE = r"\s*([A-Za-z_]+/[A-Za-z0-9_/+-]+|[A-Za-z]{1,5}|[+-]\d{2}(?::?\d{2})?)?(?:\[[A-Za-z0-9_/+-]+\])?"  # of an offset and its zone's name the offset holds
 #: Name, pattern, and the groups of year, month, day, day of year, hour, minute, second, half of day, zone. Of ``day/month`` both orders are read.
 TEXT_FORMATS = [
     ("iso", rf"{_DATE}[T ]{_TIME}{_ZONE}", dict(y=1, m=2, d=3, h=4, mi=5, s=6, ap=7, z=8)),

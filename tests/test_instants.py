@@ -106,3 +106,9 @@ def test_unit_of_counts_is_learned_from_the_years_of_a_source(spark):
     a, b = feed(spark, old + new + [("995952222", "old"), ("995952222", "new")])[-2:]
     assert (a.fmt, a.utc_ms) == ("unix ms", 995952222) and not a.ambiguous
     assert (b.fmt, b.utc_ms) == ("unix s", 995952222000) and not b.ambiguous
+
+
+def test_offset_with_the_name_of_its_zone(spark):
+    """The offset in the value holds; the name in brackets beside it only says where it comes from."""
+    a, b, c = feed(spark, [("2010-10-31T01:51:35+01:00[Atlantic/Canary]", "x"), ("2018-11-04T01:07:20.500-06:00[America/Denver]", "x"), ("2018-11-04T01:07:20[", "x")])
+    assert a.utc_ms == ms(2010, 10, 31, 0, 51, 35) and b.utc_ms == ms(2018, 11, 4, 7, 7, 20) + 500 and c is None and not a.ambiguous
