@@ -44,6 +44,33 @@ def observations(spark: SparkSession, sf_dir: str, *conditions: Column) -> DataF
 CONE = (150.0, 2.0, 30.0)
 _near = SEP.format(r1=CONE[0], d1=CONE[1], r2="s_ra", d2="s_dec") + f" <= {CONE[2]} AND abs(s_dec) <= 90 AND NOT isnan(s_ra) AND NOT isnan(s_dec)"
 _science = "upper(datarights) IN ('PUBLIC') AND calib_level IN (3, 4) AND upper(dataproduct_type) IN ('IMAGE') AND upper(intenttype) IN ('SCIENCE')"
+
+
+
+def _preset(levels: str = "3, 4", types: str = "'IMAGE'", more: str = "true") -> str:
+    return f"upper(datarights) = 'PUBLIC' AND calib_level IN ({levels}) AND upper(dataproduct_type) IN ({types}) AND upper(intenttype) = 'SCIENCE' AND {more}"
+
+
+def _any(column: str, *values: str) -> str:
+    return f"list_has_any(string_split(upper({column}), ';'), {list(values)})"
+
+
+#: Conditions of all presets in SQL.
+PRESET_SQL = {
+    "science": _preset(),
+    "uv": _preset(more=_any("wavelength_region", "UV", "EUV")),
+    "optical": _preset(more=_any("wavelength_region", "OPTICAL")),
+    "infrared": _preset(more=_any("wavelength_region", "INFRARED", "IR")),
+    "xray": _preset(more=_any("wavelength_region", "XRAY")),
+    "hst": _preset(more=_any("obs_collection", "HST")),
+    "jwst": _preset(more=_any("obs_collection", "JWST")),
+    "galex": _preset(more=_any("obs_collection", "GALEX")),
+    "swift": _preset("2", "'IMAGE', 'CUBE'", _any("obs_collection", "SWIFT")),
+    "ps1": _preset("3", more=_any("obs_collection", "PS1")),
+    "tess": _preset("2", more=_any("obs_collection", "TESS")),
+    "jwst miri": _preset(more=_any("obs_collection", "JWST") + " AND " + _any("instrument_name", "MIRI/IMAGE")),
+    "jwst nircam": _preset(more=_any("obs_collection", "JWST") + " AND " + _any("instrument_name", "NIRCAM/IMAGE")),
+}
 _wavelength = """CASE upper(coalesce(list_filter(string_split(filters, ';'), lambda x: x <> '')[1], filters))
  WHEN 'FUV' THEN 153 WHEN 'NUV' THEN 231 WHEN 'UVW2' THEN 193 WHEN 'UVM2' THEN 225 WHEN 'UVW1' THEN 260 WHEN 'U' THEN 346 WHEN 'B' THEN 439 WHEN 'V' THEN 547
  WHEN 'G' THEN 481 WHEN 'R' THEN 617 WHEN 'I' THEN 752 WHEN 'Z' THEN 866 WHEN 'Y' THEN 962 WHEN 'TESS' THEN 786

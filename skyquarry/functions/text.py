@@ -12,6 +12,12 @@ HST_REGIMES = [(3200, "Ultraviolet"), (4000, "Near-Ultraviolet / Violet"), (5000
 JWST_HEX = {"Blue": "#3B82F6", "Cyan": "#22D3EE", "Green": "#22C55E", "Yellow": "#FACC15", "Orange": "#FB923C", "Red": "#EF4444", "Deep Red / Far-IR": "#B91C1C"}
 
 
+def colour_code(colour: Column) -> Column:
+    """Hex code of a display colour; the bluest and reddest share those of their neighbours."""
+    known = {**JWST_HEX, "Deep Red / Near-IR": JWST_HEX["Deep Red / Far-IR"]}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), colour)
+
+
 def stepped(value: Column, steps: list[tuple[float | None, str]]) -> Column:
     """Name of the first step whose limit lies above the value."""
     out = None
@@ -66,3 +72,37 @@ def needs_header(address: Column) -> Column:
     """Whether a product's address promises FITS metadata. The scheme is a fixed value of the archive's locators."""
     low = F.lower(address)
     return low.startswith("mast:") | low.contains(".fits") | low.contains(".fit")
+
+
+def replace_first(value: Column, old: str, new: str) -> Column:
+    """The first place of a literal text replaced."""
+    at = F.instr(value, old)
+    return F.when(at > 0, F.concat(F.substring(value, 1, at - 1), F.lit(new), F.substring(value, at + len(old), F.length(value)))).otherwise(value)
+
+
+def replace_all(value: Column, pattern: str, new: str) -> Column:
+    """Every match of a pattern replaced."""
+    return F.regexp_replace(value, pattern, new)
+
+
+def redacted(value: Column) -> Column:
+    """Header values that hold a token or bearer credential are hidden."""
+    low = F.lower(value)
+    return F.when(low.contains("token") | low.contains("bearer"), F.lit("<redacted>")).otherwise(value)
+
+
+def content_size(content_range: Column, content_length: Column) -> Column:
+    """Size of a file from the total of its Content-Range, else its Content-Length; null for neither."""
+    total = F.element_at(F.split(content_range, "/"), -1).try_cast("long")
+    return F.coalesce(total, content_length.try_cast("long"))
+
+
+def filter_text(names: Column) -> Column:
+    """A list of filters as one text."""
+    return F.array_join(names, ";")
+
+
+def is_fits_name(name: Column) -> Column:
+    """Whether a file's name is that of a FITS file, plain or compressed."""
+    low = F.lower(name)
+    return low.endswith(".fits") | low.endswith(".fits.gz")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyquarry.functions.text import product_locator
+from skyquarry.functions.text import is_fits_name, product_locator
 from skyquarry.operators.groups import IDENTITY
 
 
@@ -67,12 +67,12 @@ def product_urls(obs: DataFrame, preview: bool = False) -> DataFrame:
     return of("jpegurl").unionAll(of("dataurl")).drop("obs_collection")
 
 
-def enrich_sizes(obs: DataFrame, address: str, by_product: DataFrame, cache: DataFrame) -> DataFrame:
+def enrich_sizes(obs: DataFrame, address: str, by_product: DataFrame, cache: DataFrame, keep: list[str] = []) -> DataFrame:
     """Size of each address: from its product, else from a cache of (address, size)."""
     found = by_product.select("obsid", "address", F.col("size").alias("by_product"))
     known = cache.where("size > 0").select(F.col("address"), F.col("size").alias("by_cache")).dropDuplicates(["address"])
-    rows = obs.select("obsid", F.col(address).alias("address"))
-    return rows.join(found, ["obsid", "address"], "left").join(known, "address", "left").select("obsid", "address", F.coalesce("by_product", "by_cache").alias("size"))
+    rows = obs.select("obsid", F.col(address).alias("address"), *keep)
+    return rows.join(found, ["obsid", "address"], "left").join(known, "address", "left").select("obsid", "address", *keep, F.coalesce("by_product", "by_cache").alias("size"))
 
 
 def upsert_sizes(cache: DataFrame, fresh: DataFrame, order: str) -> DataFrame:
@@ -106,3 +106,40 @@ def pair_planes(planes: DataFrame, wcs_equal) -> DataFrame:
     size = (F.col("s.file") == F.col("w.file")) & (F.col("s.width") == F.col("w.width")) & (F.col("s.height") == F.col("w.height"))
     rank = F.struct((~wcs_equal(F.col("s.wcs"), F.col("w.wcs"))).alias("unlike"), F.col("w.ext_index").alias("x"))
     return s.join(w, size, "left").groupBy(F.col("s.file").alias("file"), F.col("s.ext_index").alias("ext_index")).agg(F.min(F.when(F.col("w.ext_index").isNotNull(), rank)).alias("b")).select("file", "ext_index", F.col("b.x").alias("weight_index"))
+
+
+def content_sizes(obs: DataFrame, products: DataFrame, cache: DataFrame) -> DataFrame:
+    """Observations with ``dataurl_size`` and ``jpegurl_size``, and the preferred one of them, ``download_size``.
+
+    A size comes from the observation's product that fits the address, else from a cache of (address,
+    size); sizes that are not positive count as missing. Both kinds of addresses are matched in one pass.
+    """
+    kinds = ("dataurl", "jpegurl")
+    each = obs.select("obsid", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("address")) for k in kinds])).alias("a")).select("obsid", "a.*").where("address <> ''")
+    by_product = match_locators(each, "address", products).where("size > 0").select("obsid", "address", "size")
+    sized = enrich_sizes(each.select("obsid", "address", "kind"), "address", by_product, cache, keep=["kind"])
+    sizes = sized.groupBy("obsid").agg(*[F.max(F.when(F.col("kind") == k, F.col("size"))).alias(f"{k}_size") for k in kinds])
+    return obs.join(sizes, "obsid", "left").withColumn("download_size", F.coalesce("dataurl_size", "jpegurl_size"))
+
+
+def missing_addresses(sized: DataFrame) -> DataFrame:
+    """(address) of every address without a size, once: what is left to ask for."""
+    parts = [sized.where((F.col(k) != "") & F.col(f"{k}_size").isNull()).select(F.col(k).alias("address")) for k in ("dataurl", "jpegurl")]
+    return parts[0].unionAll(parts[1]).distinct()
+
+
+def attach_metadata(obs: DataFrame, metadata: DataFrame, file: str = "file_identifier") -> DataFrame:
+    """Observations with the metadata of the file that their data address ends in; null where there is none."""
+    name = F.element_at(F.split("dataurl", "/"), -1)
+    return obs.withColumn("_file", F.when(name != "", name)).join(metadata.withColumnRenamed(file, "_file"), "_file", "left").drop("_file")
+
+
+def science_files(products: DataFrame) -> DataFrame:
+    """Products that are science files in FITS."""
+    return products.where((F.upper("producttype") == "SCIENCE") & is_fits_name(F.col("productfilename")))
+
+
+def preferred_plane(planes: DataFrame) -> DataFrame:
+    """One plane a file: the first of science, else the first of unknown role."""
+    ranked = F.struct((F.col("role") != "science").alias("other"), F.col("ext_index").alias("i"))
+    return planes.where(F.col("role").isin("science", "unknown")).groupBy("file").agg(F.min_by(F.struct("*"), ranked).alias("r")).select("r.*")

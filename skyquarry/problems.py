@@ -150,6 +150,16 @@ QUERIES = {
 
 #: Only where SQL is quick on whole tables; the others are tested against brute force.
 ORACLES = {
+    "p3_found": r"""
+WITH obs AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM caom_obs),
+g AS (SELECT *, CASE upper(obs_collection) WHEN 'HLA' THEN 'HST' ELSE upper(obs_collection) END AS mission,
+ CASE WHEN upper(obs_collection) = 'JWST' AND len(string_split(obs_id, '_')) >= 3 THEN array_to_string(string_split(obs_id, '_')[1:3], '_')
+  WHEN upper(obs_collection) = 'HST' OR lower(obs_id) LIKE 'hst\_%' ESCAPE '\' THEN regexp_replace(obs_id, '(?i)_(clear|(fq?|g)[0-9]{2,4}[a-z0-9]*)(_.*)?$', '') ELSE obs_id END AS key FROM obs),
+v AS (SELECT obsid, mission, key, field, CASE WHEN NOT isnan(value) AND value BETWEEN 43000 AND 62500 THEN value END AS value FROM
+ (SELECT obsid, mission, key, unnest(['t_min', 't_max', 't_obs_release']) AS field, unnest([t_min, t_max, t_obs_release]) AS value FROM g)),
+n AS (SELECT mission, key, field, count(value) AS n FROM v WHERE mission IS NOT NULL AND key IS NOT NULL GROUP BY ALL)
+SELECT obsid, field, CASE WHEN n.n > 0 THEN 'group' ELSE 'none' END AS donor FROM v LEFT JOIN n USING (mission, key, field) WHERE value IS NULL
+""",
     "p7_found": """
 WITH iv AS (
   SELECT proposal_id, target_name, CAST(round(t_min * 86400) AS BIGINT) AS s, CAST(round(t_max * 86400) AS BIGINT) AS e

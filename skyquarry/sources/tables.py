@@ -15,16 +15,18 @@ WIRE_TYPES = {"string": "string", "int": "bigint", "float": "double", "boolean":
 
 
 def read_envelope(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of JSON responses ``{fields: [{name, type}], data: [{...}]}``; the declared fields give the schema.
+    """Rows of JSON responses ``{fields: [{name, type}], data: [{...}]}``; the fields that any of them declares give the schema.
 
     Fields that a row lacks and values that don't fit their type are null. A response with
     ``resolvedCoordinate`` gives its coordinates instead; any other gives an empty table.
     """
     raw = spark.read.text(path, wholetext=True)
     head = raw.select(F.from_json("value", "fields array<struct<name:string,type:string>>, resolvedCoordinate array<map<string,string>>").alias("h")).select("h.*")
-    declared = head.where("fields is not null").select("fields").first()
-    if declared:
-        fields = [(f["name"], WIRE_TYPES.get((f["type"] or "").lower(), "string")) for f in declared.fields if f["name"]]
+    declared = head.where("fields is not null").select(F.posexplode("fields").alias("at", "f")).where("f.name <> ''")
+    # the fields of all files, each with its first place and type; a table has a bounded number of them
+    union = declared.groupBy("f.name").agg(F.min(F.struct("at", F.lower("f.type").alias("type"))).alias("d")).orderBy("d.at", "name").collect()
+    if union:
+        fields = [(r.name, WIRE_TYPES.get(r.d["type"] or "", "string")) for r in union]
         rows = raw.select(F.explode(F.from_json("value", "data array<map<string,string>>")["data"]).alias("r"))
         return rows.select(*[F.col("r")[n].try_cast(t).alias(n) for n, t in fields])
     resolved = head.where("resolvedCoordinate is not null").select(F.explode("resolvedCoordinate").alias("r"))
@@ -87,3 +89,40 @@ def typed_observations(df: DataFrame) -> DataFrame:
 def project(df: DataFrame, columns: list[str]) -> DataFrame:
     """Those of the columns that the table has."""
     return df.select(*[c for c in columns if c in df.columns])
+
+
+def column_or_empty(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as text, empty where the table lacks one."""
+    return df.select(*[F.col(c).cast("string").alias(c) if c in df.columns else F.lit("").alias(c) for c in columns])
+
+
+#: Columns of a resolver row with the value that stands for a missing one.
+RESOLVED = {
+    "searchstring": ("string", ""), "canonicalname": ("string", ""), "resolver": ("string", ""), "objecttype": ("string", ""), "cached": ("boolean", False),
+    "resolvertime": ("bigint", 0), "searchradius": ("double", 0.0), "ra": ("double", 0.0), "dec": ("double", 0.0), "radius": ("double", 0.02),
+}
+
+
+def typed_names(df: DataFrame) -> DataFrame:
+    """Resolver rows typed, with defaults; the declination is called ``dec`` whether it came as that or as ``decl``."""
+    have = {("dec" if c.lower() == "decl" else c.lower()): c for c in df.columns}
+    return df.select(*[F.coalesce(F.col(f"`{have[c]}`").try_cast(t) if c in have else F.lit(None).cast(t), F.lit(d).cast(t)).alias(c) for c, (t, d) in RESOLVED.items()])
+
+
+_RESOLVER = (
+    "QueryTime string, ResultCode int, Version string, StatusCode int, Interpreted struct<Name:string>, Supplied string, NameResolver string, "
+    "Preferred struct<Redshift:struct<Value:double,Uncertainty:double,RefCode:string,QualityFlag:string>,Name:string,"
+    "Position:struct<RA:double,Dec:double,PosAngle:int,UncSemiMinor:double,UncSemiMajor:double,RefCode:string>,ObjType:struct<Value:string,RefCode:string>>"
+)
+
+
+def read_resolver(spark: SparkSession, path: str) -> DataFrame:
+    """(supplied, name, ra, dec, object_type, redshift, result_code) of nested JSON replies of the second resolver, one a file."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", _RESOLVER).alias("r")).select("r.*")
+    return raw.select(F.coalesce("Supplied", "Interpreted.Name").alias("supplied"), F.col("Preferred.Name").alias("name"), F.col("Preferred.Position.RA").alias("ra"), F.col("Preferred.Position.Dec").alias("dec"), F.col("Preferred.ObjType.Value").alias("object_type"), F.col("Preferred.Redshift.Value").alias("redshift"), F.col("ResultCode").alias("result_code"))
+
+
+def stored_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, name, size) of the files in a folder of products that hold anything; only the listing is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.where("length > 0").select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
