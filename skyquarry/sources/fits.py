@@ -121,7 +121,8 @@ class Unit:
 
     @property
     def is_image(self) -> bool:
-        return len(self.dims) >= 2 and all(n > 0 for n in self.dims) and self.data_size > 0
+        table = (string(self.cards, "XTENSION") or "").upper() in ("BINTABLE", "TABLE")
+        return not table and len(self.dims) >= 2 and all(n > 0 for n in self.dims) and self.data_size > 0
 
 
 def units(file, size: int, most: int | None = None, stop_at_image: bool = False, most_bytes: int | None = None) -> Iterator[Unit]:
@@ -426,7 +427,7 @@ def read_table(spark: SparkSession, path: str, ext_index: int, files_per_task: i
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, size in zip(pdf.path, pdf.size):
+            for name, size in zip(pdf.path, pdf["size"]):
                 if (unit := _unit_of(name, size, ext_index)) is None or not unit.complete:
                     continue
                 system, inner = _file_system(name)
