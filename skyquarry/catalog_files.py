@@ -291,3 +291,9 @@ def wcs_pixels(spark, sf_dir):
     placed = observations(spark, sf_dir, (F.abs("s_ra") < 1e6) & ~F.isnan("s_ra") & F.col("s_dec").isNotNull() & ~F.isnan("s_dec")).select("obsid", fitsvalues.wcs(header).alias("w"))
     back = placed.withColumn("at", fitsvalues.to_world(F.col("w"), F.lit(4.0), F.lit(5.0))).withColumn("p", fitsvalues.to_pixel(F.col("w"), F.col("at.ra"), F.col("at.dec")))
     return back.select("obsid", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"), F.round(fitsvalues.pixel_scale(F.col("w"))["x"] * 3600, 6).alias("arcsec"))
+
+
+@query(OBS + "SELECT obs_collection, len(list_filter(string_split(obs_id, '_'), lambda x: x <> '')) AS parts, count(*) AS n, min(obs_id) AS example FROM obs GROUP BY ALL")
+def obs_id_parts(spark, sf_dir):
+    """How observation ids of each collection split into parts."""
+    return groups.id_parts(observations(spark, sf_dir))

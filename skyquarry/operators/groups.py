@@ -103,6 +103,12 @@ def id_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("obs_id").agg(F.min(start).alias("first_start"), F.max(start).alias("last_start"), listed("filters").alias("filters"), listed("instrument_name").alias("instruments"), F.count("*").alias("n"))
 
 
+def id_parts(df: DataFrame) -> DataFrame:
+    """(obs_collection, parts, n, example): into how many parts the ids of a collection split."""
+    parts = F.size(F.filter(F.split("obs_id", "_"), lambda x: x != ""))
+    return df.groupBy("obs_collection", F.when(F.col("obs_id").isNotNull(), parts).cast("long").alias("parts")).agg(F.count("*").alias("n"), F.min("obs_id").alias("example"))
+
+
 def band_counts(df: DataFrame) -> DataFrame:
     """Observations in each named band."""
     pairs = [(b, f) for b, fs in BANDS.items() for f in fs]
